@@ -1,6 +1,6 @@
 """The registered queries; importing this package fills ``REGISTRY``."""
 
-from lumentab.plans import relational, statistics  # noqa: F401
+from lumentab.plans import relational, scalars, statistics  # noqa: F401
 from lumentab.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]
