@@ -131,9 +131,9 @@ def html_tables(t):
 # --- row functions and the line job ----------------------------------------
 
 @query("rdd_flatmap", "B1", """
-SELECT w, COUNT(*) AS n FROM (SELECT UPPER(UNNEST(string_split(text, ' '))) AS w FROM conversations) WHERE LENGTH(w) > 3 GROUP BY w""")
+SELECT w, COUNT(*) AS n FROM (SELECT LOWER(UNNEST(string_split(text, ' '))) AS w FROM conversations) WHERE LENGTH(w) > 3 GROUP BY w""")
 def rdd_flatmap(t):
-    words = t.conversations.select(F.explode(F.split("text", " ")).alias("w")).select(F.upper("w").alias("w"))
+    words = t.conversations.select(F.explode(F.split("text", " ")).alias("w")).select(F.lower("w").alias("w"))
     return words.where(F.length("w") > 3).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
 
 
