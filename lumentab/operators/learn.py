@@ -187,13 +187,16 @@ def fourier_features(df: DataFrame, columns: Sequence[str], gamma: float, count:
     rng = np.random.default_rng(seed)
     w = rng.normal(0.0, math.sqrt(2 * gamma), (count, len(columns)))
     shift = rng.uniform(0, 2 * math.pi, count)
-    cells = []
-    for row, b in zip(w, shift):
-        angle = F.lit(float(b))
-        for weight, name in zip(row, columns):
-            angle = angle + F.lit(float(weight)) * c(name)
-        cells.append(F.cos(angle) * math.sqrt(2 / count))
-    return df.withColumn("features", array_to_vector(F.array(*cells)))
+    # one short lambda over a constant table keeps the generated code small
+    table = F.array(*[F.array(F.lit(float(b)), *[F.lit(float(v)) for v in row]) for row, b in zip(w, shift)])
+
+    def wave(row: Column) -> Column:
+        angle = row[0]
+        for i, name in enumerate(columns):
+            angle = angle + row[i + 1] * c(name)
+        return F.cos(angle) * math.sqrt(2 / count)
+
+    return df.withColumn("features", array_to_vector(F.transform(table, wave)))
 
 
 def svm_grid(df: DataFrame, columns: Sequence[str], label: str, key: str, gammas: Sequence[float],
@@ -207,7 +210,7 @@ def svm_grid(df: DataFrame, columns: Sequence[str], label: str, key: str, gammas
     rows = []
     for gamma in gammas:
         data = fourier_features(df.withColumn("fold", fold_of(c(key), folds)), columns, gamma)
-        machine = LinearSVC(labelCol=label, maxIter=20)
+        machine = LinearSVC(labelCol=label, maxIter=15)
         grid = ParamGridBuilder().addGrid(machine.regParam, list(penalties)).build()
         score = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
         cv = CrossValidator(estimator=machine, estimatorParamMaps=grid, evaluator=score, numFolds=folds, foldCol="fold", parallelism=4)
