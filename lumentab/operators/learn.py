@@ -210,7 +210,7 @@ def svm_grid(df: DataFrame, columns: Sequence[str], label: str, key: str, gammas
     rows = []
     for gamma in gammas:
         data = fourier_features(df.withColumn("fold", fold_of(c(key), folds)), columns, gamma)
-        machine = LinearSVC(labelCol=label, maxIter=15)
+        machine = LinearSVC(labelCol=label, maxIter=10)
         grid = ParamGridBuilder().addGrid(machine.regParam, list(penalties)).build()
         score = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
         cv = CrossValidator(estimator=machine, estimatorParamMaps=grid, evaluator=score, numFolds=folds, foldCol="fold", parallelism=4)

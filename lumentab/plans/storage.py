@@ -63,11 +63,11 @@ def scan_whitespace(t):
                       r(S.dms_to_degrees(c("d"), num["dm"], num["ds"])).alias("dec"))
 
 
-@query("scan_skip_header", "S5", f"WITH {_CAT} SELECT ra, dec FROM cat")
+@query("scan_skip_header", "S5", f"WITH {_CAT} SELECT ra, ROUND(dec, 6) + 0.0 AS dec FROM cat")
 def scan_skip_header(t):
     path = scratch_path(t.spark, "header")
     out.write_csv(catalogue(t).select("ra", "dec", "c_acctbal"), path)
-    return files.read_csv(t.spark, path, "ra double, dec double, flux double").select("ra", "dec")
+    return files.read_csv(t.spark, path, "ra double, dec double, flux double").select("ra", r(c("dec")).alias("dec"))
 
 
 @query("scan_index_col", "S6", "SELECT p_partkey AS row_label, p_size, p_retailprice FROM part")
@@ -85,7 +85,7 @@ def scan_votable(t):
     parallax = F.when(c("c_custkey") % 5 != 0, c("c_acctbal"))
     rows = t.customer.select(F.concat(F.lit("<TR>"), cell(c("c_custkey")), cell(parallax), cell(c("c_mktsegment")), F.lit("</TR>")).alias("value"))
     field_lines = F.array(*[F.lit(x) for x in (
-        '<FIELD name="source_id" datatype="long" unit=""></FIELD>', '<FIELD name="parallax" datatype="double" unit="mas"></FIELD>',
+        '<FIELD name="source_id" datatype="long" unit=""/>', '<FIELD name="parallax" datatype="double" unit="mas"></FIELD>',
         '<FIELD name="kind" datatype="char" unit=""></FIELD>')])
     data, head = scratch_path(t.spark, "vot-data"), scratch_path(t.spark, "vot-head")
     rows.write.text(data)
@@ -212,8 +212,8 @@ def sink_match_report(t):
     return back.select("id1", "id2", r(c("distance_deg")).alias("distance_deg"))
 
 
-@query("sink_ascii", "K7", f"WITH {_CAT} SELECT id, ra, dec FROM cat")
+@query("sink_ascii", "K7", f"WITH {_CAT} SELECT id, ra, ROUND(dec, 6) + 0.0 AS dec FROM cat")
 def sink_ascii(t):
     path = scratch_path(t.spark, "ascii")
     out.write_ascii(catalogue(t).select("id", "ra", "dec"), path)
-    return files.read_csv(t.spark, path, "id bigint, ra double, dec double", sep=" ")
+    return files.read_csv(t.spark, path, "id bigint, ra double, dec double", sep=" ").withColumn("dec", r(c("dec")))

@@ -65,18 +65,21 @@ def read_votable(spark: SparkSession, data_path: str, fields_path: str | None =
     """VOTable (XML, TABLEDATA form): names, types and units from the FIELD elements.
 
     The rows are read by the XML source in parallel; only the FIELD elements,
-    one per column, are looked at on the driver.  The unit of a column is kept
-    in its metadata and empty cells are NULL.
+    one per column and all at the head of the file, are looked at on the driver.
+    The unit of a column is kept in its metadata and empty cells are NULL.
     """
-    field_schema = "_name string, _datatype string, _unit string"
-    fields = (spark.read.format("xml").option("rowTag", "FIELD").schema(field_schema)
-              .load(fields_path or data_path).collect())
+    tags = spark.read.option("lineSep", "<").text(fields_path or data_path).where(F.col("value").startswith("FIELD"))
+
+    def attribute(name: str):
+        return F.regexp_extract("value", rf'\s{name}\s*=\s*"([^"]*)"', 1).alias(name)
+
+    fields = tags.select(attribute("name"), attribute("datatype"), attribute("unit")).collect()
     types = {"double": "double", "float": "float", "int": "int", "long": "bigint", "short": "smallint",
              "boolean": "boolean", "char": "string", "unicodeChar": "string"}
     rows = spark.read.format("xml").option("rowTag", "TR").schema("TD array<string>").load(data_path)
     cells = []
     for i, f in enumerate(fields):
         text = F.nullif(F.trim(F.get("TD", F.lit(i))), F.lit(""))
-        value = text.try_cast(types.get(f["_datatype"], "string"))
-        cells.append(value.alias(f["_name"], metadata={"unit": f["_unit"] or ""}))
+        value = text.try_cast(types.get(f["datatype"], "string"))
+        cells.append(value.alias(f["name"], metadata={"unit": f["unit"]}))
     return rows.select(*cells)
