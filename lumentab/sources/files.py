@@ -64,8 +64,9 @@ def copy_from(spark: SparkSession, path: str, schema: str, table: str) -> None:
 def read_votable(spark: SparkSession, data_path: str, fields_path: str | None = None) -> DataFrame:
     """VOTable (XML, TABLEDATA form): names, types and units from the FIELD elements.
 
-    The rows are read by the XML source in parallel; only the FIELD elements,
-    one per column and all at the head of the file, are looked at on the driver.
+    The file is split at the ends of its TR elements, so a large one is read by
+    many tasks and no task holds a whole document.  Only the FIELD elements, one
+    per column and all at the head of the file, are looked at on the driver.
     The unit of a column is kept in its metadata and empty cells are NULL.
     """
     tags = spark.read.option("lineSep", "<").text(fields_path or data_path).where(F.col("value").startswith("FIELD"))
@@ -76,7 +77,10 @@ def read_votable(spark: SparkSession, data_path: str, fields_path: str | None =
     fields = tags.select(attribute("name"), attribute("datatype"), attribute("unit")).collect()
     types = {"double": "double", "float": "float", "int": "int", "long": "bigint", "short": "smallint",
              "boolean": "boolean", "char": "string", "unicodeChar": "string"}
-    rows = spark.read.format("xml").option("rowTag", "TR").schema("TD array<string>").load(data_path)
+    inner = F.regexp_extract("value", r"(?s)<TR(?:\s[^>]*)?>(.*)$", 1)
+    rows = (spark.read.option("lineSep", "</TR>").text(data_path).select(inner.alias("x")).where(F.col("x") != "")
+            .select(F.from_xml(F.concat(F.lit("<TR>"), "x", F.lit("</TR>")), F.lit("TD array<string>")).alias("r"))
+            .select("r.TD"))
     cells = []
     for i, f in enumerate(fields):
         text = F.nullif(F.trim(F.get("TD", F.lit(i))), F.lit(""))
