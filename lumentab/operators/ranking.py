@@ -26,7 +26,7 @@ _EXACT_DOUBLE = 2.0**53
 def slot_count(df: DataFrame) -> int:
     """How many cut points to use: follows the shuffle width of the session."""
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(16, min(4096, width))
+    return max(64, min(4096, width))
 
 
 def cut_points(df: DataFrame, value: str, n: int | None = None) -> list[float]:
@@ -121,23 +121,23 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group.
 
-    Equal values are counted first (with map-side combining), then only the
-    slots that hold a wanted rank are ordered.
+    The first pass counts rows per group and slot, which map-side combining
+    keeps small.  The second pass keeps only the rows of the few slots that hold
+    a wanted rank, merges equal values and orders the rest inside their slot.
     """
     by = list(by)
     names = list(names or [f"q{i}" for i in range(len(probs))])
     clean = df.select(*by, F.col(value).cast("double").alias("__v")).where(
         F.col("__v").isNotNull() & ~F.isnan("__v")
     )
-    cuts = cut_points(clean, "__v", slots)
-    counts = _with_slot(clean.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n")), "__v", cuts, "__slot")
+    counts = _with_slot(clean, "__v", cut_points(clean, "__v", slots), "__slot")
 
     key_cols = by or ["__all"]
     if not by:
         counts = counts.withColumn("__all", F.lit(1))
     run = Window.partitionBy(*key_cols).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
     per_slot = (
-        counts.groupBy(*key_cols, "__slot").agg(F.sum("__n").alias("__m"))
+        counts.groupBy(*key_cols, "__slot").agg(F.count(F.lit(1)).alias("__m"))
         .withColumn("__before", F.coalesce(F.sum("__m").over(run), F.lit(0)))
         .withColumn("__total", F.sum("__m").over(Window.partitionBy(*key_cols)))
     )
@@ -159,8 +159,15 @@ def exact_quantiles(
     )
     inside = Window.partitionBy(*key_cols, "__slot").orderBy("__v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
+    # one hash join against the few wanted slots; NULL group keys are groups too
+    same = F.col("__slot") == F.col("__tslot")
+    for k in key_cols:
+        same = same & F.col(k).eqNullSafe(F.col(f"__t_{k}"))
+    wanted_slots = targets.select(
+        *[F.col(k).alias(f"__t_{k}") for k in key_cols], F.col("__slot").alias("__tslot"), "__before", "__total", "__w")
     hits = (
-        counts.join(targets, [*key_cols, "__slot"])
+        counts.join(wanted_slots, same)
+        .groupBy(*key_cols, "__slot", "__before", "__total", "__w", "__v").agg(F.count(F.lit(1)).alias("__n"))
         .withColumn("__upto", F.sum("__n").over(inside) + F.col("__before"))
         .withColumn("__from", F.col("__upto") - F.col("__n"))
         .select(*key_cols, "__v", "__total", "__from", "__upto", F.explode("__w").alias("w"))
@@ -196,8 +203,7 @@ def first_reaching(
     clean = df.select(F.col(value).alias("__v"), F.col(weight).cast("double").alias("__w")).where(
         F.col("__v").isNotNull() & F.col("__w").isNotNull()
     )
-    cuts = cut_points(clean, "__v", slots)
-    sums = _with_slot(clean.groupBy("__v").agg(F.sum("__w").alias("__w")), "__v", cuts, "__slot")
+    sums = _with_slot(clean, "__v", cut_points(clean, "__v", slots), "__slot")
     run = Window.orderBy("__slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy()
     target = (
@@ -212,7 +218,8 @@ def first_reaching(
     inside = Window.partitionBy("__slot").orderBy("__v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     return (
-        sums.join(F.broadcast(target), "__slot")
+        sums.join(F.broadcast(target), "__slot")  # a single row
+        .groupBy("__slot", "__before", "__need", "__v").agg(F.sum("__w").alias("__w"))
         .withColumn("__cum", F.sum("__w").over(inside) + F.col("__before"))
         .where(F.col("__cum") >= F.col("__need"))
         .agg(F.min("__v").alias(out))

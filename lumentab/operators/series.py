@@ -12,21 +12,19 @@ from pyspark.sql import functions as F
 def periodogram(df: DataFrame, series: str, t: str, y: str, frequencies: Sequence[float]) -> DataFrame:
     """Fourier amplitude of the mean-subtracted series on a chosen grid.
 
-    sum((y-m) cos) = sum(y cos) - m sum(cos), so mean and all sums come from one
-    aggregation: every frequency adds four partial sums and no row is repeated.
+    sum((y-m) cos) = sum(y cos) - m sum(cos), so mean and sums come from one
+    aggregation.  A row meets the grid inside its task and is folded into one
+    partial sum per series and frequency before the shuffle.
     """
-    angle = [F.lit(-2 * math.pi * f) * F.col(t) for f in frequencies]
-    sums = [F.avg(y).alias("m")]
-    for k, a in enumerate(angle):
-        sums += [F.sum(F.col(y) * F.cos(a)).alias(f"yc{k}"), F.sum(F.col(y) * F.sin(a)).alias(f"ys{k}"),
-                 F.sum(F.cos(a)).alias(f"c{k}"), F.sum(F.sin(a)).alias(f"s{k}")]
-    valid = df.where(F.col(y).isNotNull() & F.col(t).isNotNull())
-    rows = F.array(*[
-        F.struct(F.lit(float(f)).alias("frequency"),
-                 F.hypot(F.col(f"yc{k}") - F.col("m") * F.col(f"c{k}"),
-                         F.col(f"ys{k}") - F.col("m") * F.col(f"s{k}")).alias("amplitude"))
-        for k, f in enumerate(frequencies)])
-    return valid.groupBy(series).agg(*sums).select(series, F.inline(rows))
+    grid = F.explode(F.array(*[F.lit(float(f)) for f in frequencies])).alias("frequency")
+    rows = df.where(F.col(y).isNotNull() & F.col(t).isNotNull()).select(series, F.col(t).alias("t"), F.col(y).alias("y"), grid)
+    angle = rows.select(series, "frequency", "y", (F.lit(-2 * math.pi) * F.col("frequency") * F.col("t")).alias("a"))
+    waves = angle.select(series, "frequency", "y", F.cos("a").alias("c"), F.sin("a").alias("s"))
+    sums = waves.groupBy(series, "frequency").agg(
+        F.avg("y").alias("m"), F.sum(F.col("y") * F.col("c")).alias("yc"), F.sum(F.col("y") * F.col("s")).alias("ys"),
+        F.sum("c").alias("c"), F.sum("s").alias("s"))
+    amplitude = F.hypot(F.col("yc") - F.col("m") * F.col("c"), F.col("ys") - F.col("m") * F.col("s"))
+    return sums.select(series, "frequency", amplitude.alias("amplitude"))
 
 
 def sinusoids(t: Column, parts: Sequence[tuple[float, float, float]]) -> Column:

@@ -14,6 +14,8 @@ from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer, StopWordsRe
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumentab.session import ensure_checkpoint_dir
+
 # fixed values: blanks of the scripting language, word of two or more word characters
 BLANKS = r"[\t\n\x0b\f\r\x1c-\x1f\x{85}\p{Z}]+"
 WORD = r"[\p{L}\p{N}_]{2,}"
@@ -39,8 +41,9 @@ def tokens(text: Column) -> Column:
 
 
 def bag_of_words(df: DataFrame, doc: str, words: Column) -> DataFrame:
-    """(doc, term, tf); counted per task before the shuffle."""
-    return df.select(doc, F.explode(words).alias("term")).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(doc, term, tf) with the other columns of ``df`` kept; counted per task before the shuffle."""
+    kept = [x for x in df.columns if x != "text"]
+    return df.select(*kept, F.explode(words).alias("term")).groupBy(*kept, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bag_shape(bag: DataFrame, doc: str) -> DataFrame:
@@ -68,10 +71,12 @@ def naive_bayes(train: DataFrame, target: DataFrame, doc: str, label: str, class
 
     ``train`` is a labelled bag (doc, label, term, tf), ``target`` a bag
     (doc, term, tf).  Terms unknown to the training bag are ignored; a tie goes
-    to the first class.  ``classes`` is the short list of labels.
+    to the first class.  ``classes`` is the short list of labels.  The fitted
+    table, one row per term, is written once and read for totals and scores.
     """
+    ensure_checkpoint_dir(train.sparkSession)
     n_c = [F.sum(F.when(F.col(label) == k, F.col("tf")).otherwise(0)).alias(f"n{i}") for i, k in enumerate(classes)]
-    terms = train.groupBy("term").agg(*n_c)
+    terms = train.groupBy("term").agg(*n_c).checkpoint()
     totals = terms.agg(F.struct(F.count(F.lit(1)).alias("v"), *[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(classes))])).scalar()
     docs = train.select(doc, label).distinct().agg(F.struct(
         F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(label) == k).alias(f"d{i}") for i, k in enumerate(classes)])).scalar()

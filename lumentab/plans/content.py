@@ -9,7 +9,8 @@ from lumentab.operators import userfuncs as uf
 from lumentab.operators import web
 from lumentab.operators.aggregate import describe
 from lumentab.plans.registry import query
-from lumentab.plans.statistics import panel, r, rounded, _DESC, _PANEL
+from lumentab.plans.statistics import panel, rounded, _DESC, _PANEL
+from lumentab.session import spread
 
 c = F.col
 
@@ -31,7 +32,7 @@ def text_length(t):
 SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(text, '[!-/:-@\[-`{{-~]', '', 'g'),
  '[\t\n\x0b\f\r\x1c-\x1f\x{{85}}\p{{Z}}]+'), lambda w: w <> '' AND NOT list_contains([{_STOP}], LOWER(w))), ' ') AS words FROM documents""")
 def text_process(t):
-    return t.documents.select("doc_id", F.array_join(tx.clean_words(c("text"), STOP), " ").alias("words"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", F.array_join(tx.clean_words(c("text"), STOP), " ").alias("words"))
 
 
 _TOK = r"regexp_extract_all(LOWER(text), '[\p{L}\p{N}_]{2,}')"
@@ -40,14 +41,14 @@ _TOK = r"regexp_extract_all(LOWER(text), '[\p{L}\p{N}_]{2,}')"
 @query("tokenize", "X3", f"SELECT doc_id, CAST(LEN({_TOK}) AS INTEGER) AS n, array_to_string({_TOK}, ' ') AS tokens FROM documents")
 def tokenize(t):
     words = tx.tokens(c("text"))
-    return t.documents.select("doc_id", F.size(words).alias("n"), F.array_join(words, " ").alias("tokens"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", F.size(words).alias("n"), F.array_join(words, " ").alias("tokens"))
 
 
 _BAG = f"bag AS (SELECT doc_id, term, COUNT(*) AS tf FROM (SELECT doc_id, UNNEST({_TOK}) AS term FROM documents) GROUP BY 1, 2)"
 
 
 def bag(t):
-    return tx.bag_of_words(t.documents, "doc_id", tx.tokens(c("text")))
+    return tx.bag_of_words(spread(t.documents.select("doc_id", "text")), "doc_id", tx.tokens(c("text")))
 
 
 @query("bag_of_words", "X4", f"WITH {_BAG} SELECT doc_id, term, tf FROM bag")
@@ -79,7 +80,8 @@ p AS (SELECT LN(COUNT(DISTINCT doc_id) FILTER (quality = 0) / COUNT(DISTINCT doc
 sc AS (SELECT doc_id, SUM(tf * LN((n0 + 1) / (t0 + v))) + ANY_VALUE(p0) AS s0, SUM(tf * LN((n1 + 1) / (t1 + v))) + ANY_VALUE(p1) AS s1 FROM te JOIN m USING (term), s, p GROUP BY doc_id)
 SELECT doc_id, ROUND(s0, 4) AS score_0, ROUND(s1, 4) AS score_1, CASE WHEN s0 >= s1 THEN 0 ELSE 1 END AS prediction FROM sc""")
 def naive_bayes(t):
-    labelled = bag(t).join(t.labels.select("doc_id", "quality"), "doc_id")
+    docs = spread(t.documents.select("doc_id", "text")).join(t.labels.select("doc_id", "quality"), "doc_id")
+    labelled = tx.bag_of_words(docs, "doc_id", tx.tokens(c("text")))
     train, test = labelled.where(c("doc_id") % 3 != 0), labelled.where(c("doc_id") % 3 == 0)
     return rounded(tx.naive_bayes(train, test.drop("quality"), "doc_id", "quality", [0, 1]), 4)
 
@@ -101,7 +103,7 @@ def html_title(t):
 
 @query("html_select", "H2, H5")
 def html_select(t):
-    found = web.select_by_class(t.pages, "page_id", "html")
+    found = web.select_by_class(spread(t.pages), "page_id", "html")
     return found.select("page_id", "n", "tag", "class", "text", F.try_element_at("attrs", F.lit("href")).alias("href"))
 
 
@@ -114,7 +116,7 @@ def html_links(t):
 
 @query("html_distinct", "H4")
 def html_distinct(t):
-    found = web.select_by_class(t.pages, "page_id", "html")
+    found = web.select_by_class(spread(t.pages), "page_id", "html")
     return found.select("class", F.trim("text").alias("text")).distinct()
 
 
