@@ -26,20 +26,19 @@ def _edges(lo: Column, hi: Column, b: Column, bins: int) -> tuple[Column, Column
 def histogram(df: DataFrame, value: str, bins: int = 10, by: Sequence[str] = ()) -> DataFrame:
     """Equal-width histogram over [min, max] of the frame or of each group.
 
-    Empty bins are absent.  The range of the whole frame is a scalar sub-query;
-    ranges per group are an aggregate joined back (Catalyst picks the join).
+    Empty bins are absent.  The range of the whole frame is a scalar sub-query.
+    Ranges per group are one small row each, joined to the rows as they are
+    scanned; what is shuffled are the bin counts of each task.
     """
     by = list(by)
     clean = df.select(*by, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    # equal values are merged first, so a hot group joins as its distinct values
-    merged = clean.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n"))
     ends = [F.min("__v").alias("lo"), F.max("__v").alias("hi")]
     if by:
-        ranged = merged.join(merged.groupBy(*by).agg(*ends), by)
+        ranged = clean.join(clean.groupBy(*by).agg(*ends), by)
     else:
-        ranged = merged.withColumn("__r", merged.agg(F.struct(*ends)).scalar()).select("*", "__r.*")
+        ranged = clean.withColumn("__r", clean.agg(F.struct(*ends)).scalar()).select("*", "__r.*")
     binned = ranged.withColumn("bin", _equal_width_bin(F.col("__v"), F.col("lo"), F.col("hi"), bins))
-    counted = binned.groupBy(*by, "lo", "hi", "bin").agg(F.sum("__n").alias("n"))
+    counted = binned.groupBy(*by, "lo", "hi", "bin").agg(F.count(F.lit(1)).alias("n"))
     left, right = _edges(F.col("lo"), F.col("hi"), F.col("bin"), bins)
     return counted.select(*by, "bin", left.alias("left_edge"), right.alias("right_edge"), "n")
 
@@ -98,19 +97,21 @@ def kernel_density(df: DataFrame, value: str, points: int = 25) -> DataFrame:
 
 
 def boxplot(df: DataFrame, value: str, by: Sequence[str], reach: float = 1.5) -> DataFrame:
-    """Quartiles, whiskers (last value within ``reach`` IQR) and outlier count per group."""
-    quart = exact_quantiles(df, value, [0.25, 0.5, 0.75], by, ["q1", "med", "q3"])
-    merged = (
-        df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-        .join(quart, list(by))
-    )
+    """Quartiles, whiskers (last value within ``reach`` IQR) and outlier count per group.
+
+    The quartiles are one row per group and meet the rows in a join whose side
+    Catalyst broadcasts when it is small; the rows fold to one per group and
+    task before the shuffle.
+    """
+    keys = list(by)
+    quart = exact_quantiles(df, value, [0.25, 0.5, 0.75], keys, ["q1", "med", "q3"])
+    rows = df.where(F.col(value).isNotNull()).select(*keys, value).join(quart, keys)
     span = (F.col("q3") - F.col("q1")) * reach
     inside = F.col(value).between(F.col("q1") - span, F.col("q3") + span)
-    return merged.groupBy(*by).agg(
-        F.first("q1").alias("q1"), F.first("med").alias("med"), F.first("q3").alias("q3"),
+    return rows.groupBy(*keys, "q1", "med", "q3").agg(
         F.min(F.when(inside, F.col(value))).alias("whisker_low"),
         F.max(F.when(inside, F.col(value))).alias("whisker_high"),
-        F.coalesce(F.sum(F.when(~inside, F.col("__n"))), F.lit(0)).alias("n_outliers"))
+        F.count_if(~inside).alias("n_outliers"))
 
 
 def mass_function(df: DataFrame, mass: str, bins: int = 10) -> DataFrame:

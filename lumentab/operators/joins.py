@@ -9,7 +9,7 @@ aggregate before they join, so a hot key crosses the network once per task.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,16 +72,3 @@ def ratio_join(left: DataFrame, right: DataFrame, key: str, top: str, bottom: st
     return left.join(right, key).withColumn(out, F.try_divide(F.col(top), F.col(bottom)))
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
-                salts: int = 16, row_id: str | None = None) -> DataFrame:
-    """Equi-join for a left side with hot keys where AQE cannot split them.
-
-    Left rows get a salt, right rows are repeated once per salt.  ``how`` may be
-    inner or left: each left row still meets every right row exactly once.
-    """
-    if how not in ("inner", "left"):
-        raise ValueError("salting the left side keeps inner and left joins only")
-    salt = F.pmod(F.xxhash64(*(F.col(c) for c in ([row_id] if row_id else left.columns))), F.lit(salts))
-    a = left.withColumn("__salt", salt)
-    b = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-    return a.join(b, [*keys, "__salt"], how).drop("__salt")

@@ -11,27 +11,26 @@ def unique_in_order(df: DataFrame, value: str, position: str) -> DataFrame:
     return df.groupBy(value).agg(F.min(position).alias("first_pos"))
 
 
-def symmetric_difference(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows that are in exactly one of two frames with equal columns.
+def _sides(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct rows of both frames and whether each side holds them: one shuffle.
 
-    Each side is reduced to distinct rows, tagged and stacked; one aggregation
-    finds the rows with a single tag.  NULL rows compare equal.
+    Copies are folded per task by the aggregation itself; NULL rows compare equal.
     """
-    tagged = left.distinct().withColumn("__side", F.lit(1)).unionByName(
-        right.distinct().withColumn("__side", F.lit(2)))
-    return (
-        tagged.groupBy(*left.columns).agg(F.sum("__side").alias("__sides"))
-        .where(F.col("__sides") < 3).drop("__sides")
-    )
+    tagged = left.withColumn("__left", F.lit(True)).unionByName(
+        right.select(*left.columns).withColumn("__left", F.lit(False)))
+    return tagged.groupBy(*left.columns).agg(
+        F.bool_or("__left").alias("in_left"), F.bool_or(~F.col("__left")).alias("in_right"))
+
+
+def symmetric_difference(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows that are in exactly one of two frames with equal columns."""
+    return _sides(left, right).where(F.col("in_left") != F.col("in_right")).select(*left.columns)
 
 
 def set_relations(left: DataFrame, right: DataFrame) -> DataFrame:
     """One row: is left a subset of right, a superset, are they disjoint."""
-    tagged = left.distinct().withColumn("__side", F.lit(1)).unionByName(
-        right.distinct().withColumn("__side", F.lit(2)))
-    sides = tagged.groupBy(*left.columns).agg(F.sum("__side").alias("s"))
-    return sides.agg(
-        (F.count_if(F.col("s") == 1) == 0).alias("is_subset"),
-        (F.count_if(F.col("s") == 2) == 0).alias("is_superset"),
-        (F.count_if(F.col("s") == 3) == 0).alias("is_disjoint"),
+    return _sides(left, right).agg(
+        (F.count_if(F.col("in_left") & ~F.col("in_right")) == 0).alias("is_subset"),
+        (F.count_if(~F.col("in_left") & F.col("in_right")) == 0).alias("is_superset"),
+        (F.count_if(F.col("in_left") & F.col("in_right")) == 0).alias("is_disjoint"),
     )

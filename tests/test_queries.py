@@ -14,7 +14,7 @@ from lumentab.plans import REGISTRY
 # model fits with a grid take most of a minute; their parts are tested in test_learn
 SLOW = {"svm_grid"}
 # legitimately empty on the smallest tables
-MAY_BE_EMPTY = {"scan_phone", "regex_explode", "set_except", "join_theta", "similar_items"}
+MAY_BE_EMPTY = {"scan_phone", "regex_explode", "set_except", "set_symdiff", "join_theta", "similar_items"}
 
 
 @pytest.fixture(scope="module")
