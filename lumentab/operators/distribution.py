@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumentab.operators.joins import checked_broadcast
 from lumentab.operators.ranking import exact_quantiles
 
 
@@ -34,7 +35,7 @@ def histogram(df: DataFrame, value: str, bins: int = 10, by: Sequence[str] = ())
     clean = df.select(*by, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
     ends = [F.min("__v").alias("lo"), F.max("__v").alias("hi")]
     if by:
-        ranged = clean.join(clean.groupBy(*by).agg(*ends), by)
+        ranged = clean.join(checked_broadcast(clean.groupBy(*by).agg(*ends)), by)
     else:
         ranged = clean.withColumn("__r", clean.agg(F.struct(*ends)).scalar()).select("*", "__r.*")
     binned = ranged.withColumn("bin", _equal_width_bin(F.col("__v"), F.col("lo"), F.col("hi"), bins))
@@ -99,13 +100,12 @@ def kernel_density(df: DataFrame, value: str, points: int = 25) -> DataFrame:
 def boxplot(df: DataFrame, value: str, by: Sequence[str], reach: float = 1.5) -> DataFrame:
     """Quartiles, whiskers (last value within ``reach`` IQR) and outlier count per group.
 
-    The quartiles are one row per group and meet the rows in a join whose side
-    Catalyst broadcasts when it is small; the rows fold to one per group and
-    task before the shuffle.
+    The quartiles are one row per group, broadcast if their number allows; the
+    rows fold to one per group and task before the shuffle.
     """
     keys = list(by)
     quart = exact_quantiles(df, value, [0.25, 0.5, 0.75], keys, ["q1", "med", "q3"])
-    rows = df.where(F.col(value).isNotNull()).select(*keys, value).join(quart, keys)
+    rows = df.where(F.col(value).isNotNull()).select(*keys, value).join(checked_broadcast(quart), keys)
     span = (F.col("q3") - F.col("q1")) * reach
     inside = F.col(value).between(F.col("q1") - span, F.col("q3") + span)
     return rows.groupBy(*keys, "q1", "med", "q3").agg(

@@ -14,6 +14,23 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumentab.session import ensure_checkpoint_dir
+
+BROADCAST_ROWS = 100_000
+
+
+def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a reduced table only if it has been seen to be small.
+
+    The size of an aggregate is not known before it ran, so a plain join would
+    shuffle the large side as well.  The table is written once to the shared
+    folder and counted; beyond ``max_rows`` it is returned without the hint and
+    the join is a sort-merge join.
+    """
+    ensure_checkpoint_dir(small.sparkSession)
+    kept = small.checkpoint()
+    return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
+
 
 def index_join(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
     """Join on the row label."""

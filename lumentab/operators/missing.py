@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumentab.operators.joins import checked_broadcast
+
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Floating NaN becomes NULL, as tables that mark absence by NaN need."""
@@ -46,7 +48,7 @@ def fill_with_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def fill_with_group_mean(df: DataFrame, column: str, by: str) -> DataFrame:
     """Fill with the mean of the row's group; a group of only NULLs stays NULL."""
-    means = df.groupBy(F.col(by).alias("__k")).agg(F.avg(column).alias("__mean"))
+    means = checked_broadcast(df.groupBy(F.col(by).alias("__k")).agg(F.avg(column).alias("__mean")))
     joined = df.join(means, F.col(by).eqNullSafe(F.col("__k")), "left")
     return joined.withColumn(column, F.coalesce(F.col(column), F.col("__mean"))).drop("__k", "__mean")
 

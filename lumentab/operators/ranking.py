@@ -19,6 +19,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumentab.operators.joins import checked_broadcast
+
 _INF = float("inf")
 _EXACT_DOUBLE = 2.0**53
 
@@ -159,12 +161,14 @@ def exact_quantiles(
     )
     inside = Window.partitionBy(*key_cols, "__slot").orderBy("__v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    # one hash join against the few wanted slots; NULL group keys are groups too
+    # NULL group keys are groups too
     same = F.col("__slot") == F.col("__tslot")
     for k in key_cols:
         same = same & F.col(k).eqNullSafe(F.col(f"__t_{k}"))
     wanted_slots = targets.select(
         *[F.col(k).alias(f"__t_{k}") for k in key_cols], F.col("__slot").alias("__tslot"), "__before", "__total", "__w")
+    # without groups these are at most two slots per quantile; else their number is checked
+    wanted_slots = checked_broadcast(wanted_slots) if by else F.broadcast(wanted_slots)
     hits = (
         counts.join(wanted_slots, same)
         .groupBy(*key_cols, "__slot", "__before", "__total", "__w", "__v").agg(F.count(F.lit(1)).alias("__n"))
