@@ -14,6 +14,7 @@ from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer, StopWordsRe
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumentab.operators.joins import checked_broadcast
 from lumentab.session import ensure_checkpoint_dir
 
 # fixed values: blanks of the scripting language, word of two or more word characters
@@ -55,11 +56,12 @@ def bag_shape(bag: DataFrame, doc: str) -> DataFrame:
 def tfidf(bag: DataFrame, doc: str, n_docs: Column) -> DataFrame:
     """tf * (ln((1+n)/(1+df)) + 1), scaled to length 1 per document.
 
-    A frequent term is a hot join key; its document frequency is a single row,
-    so AQE may split the bag side of the join.  A document holds at most one
-    row per term, which bounds the window for its length.
+    A frequent term is a hot join key.  The table of document frequencies has
+    one short row per term: up to a million (counted) it is broadcast; a larger
+    one meets the bag in a sort-merge join, whose hot partitions AQE splits.  A
+    document holds at most one row per term, which bounds the window for its length.
     """
-    df_ = bag.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df_ = checked_broadcast(bag.groupBy("term").agg(F.count(F.lit(1)).alias("df")), 1_000_000)
     raw = bag.join(df_, "term").withColumn("w", F.col("tf") * (F.ln((1 + n_docs) / (1 + F.col("df"))) + 1))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))
     return raw.select(doc, "term", "tf", (F.col("w") / length).alias("tfidf"))
