@@ -30,9 +30,9 @@ def rows_by_position(df: DataFrame, order_by: str, start: int, stop: int, out: s
     )
 
 
-def reset_index(df: DataFrame, order_by: str, out: str = "index") -> DataFrame:
-    """Replace the label by a 0-based position in ``order_by`` order."""
-    return with_row_number(df, order_by, out=out).withColumn(out, F.col(out) - 1)
+def reset_index(df: DataFrame, order_by: str, tie: str | None = None, out: str = "index") -> DataFrame:
+    """Add a 0-based position in the order of ``order_by`` and ``tie``, which together are unique."""
+    return with_row_number(df, order_by, tie=tie, out=out).withColumn(out, F.col(out) - 1)
 
 
 def cross_section(df: DataFrame, level: str, key) -> DataFrame:

@@ -220,9 +220,7 @@ def drop_rows(t):
 @query("reset_index", "F14", """
 SELECT c_custkey, c_acctbal, ROW_NUMBER() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS index FROM customer""")
 def reset_index(t):
-    from lumentab.operators.ranking import with_row_number
-    df = t.customer.select("c_custkey", "c_acctbal")
-    return with_row_number(df, "c_acctbal", tie="c_custkey", out="index").withColumn("index", c("index") - 1)
+    return rel.reset_index(t.customer.select("c_custkey", "c_acctbal"), "c_acctbal", tie="c_custkey")
 
 
 @query("cross_section", "F15", """
@@ -451,7 +449,7 @@ def align_add(t):
     return joins.align_add(side("A"), side("N"), "k", "v")
 
 
-@query("concat_columns", "J7, P-concat", """
+@query("concat_columns", "J7", """
 SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day,
  MAX(o_totalprice) FILTER (o_orderstatus = 'F') AS "F_high", MIN(o_totalprice) FILTER (o_orderstatus = 'F') AS "F_low",
  MAX(o_totalprice) FILTER (o_orderstatus = 'O') AS "O_high", MIN(o_totalprice) FILTER (o_orderstatus = 'O') AS "O_low"

@@ -108,10 +108,10 @@ def scan_text(t):
 
 @query("inline_rows", "S11", """
 SELECT company, person, sales, (SELECT COUNT(*) FROM customer WHERE c_mktsegment = segment) AS customers FROM
- (VALUES ('GOOG', 'Sam', 200, 'BUILDING'), ('GOOG', 'Charlie', 120, 'MACHINERY'), ('MSFT', 'Amy', 340, 'HOUSEHOLD')) v(company, person, sales, segment)""")
+ (VALUES ('north', 'Ida', 210, 'BUILDING'), ('north', 'Noor', 95, 'MACHINERY'), ('south', 'Lev', 330, 'HOUSEHOLD')) v(company, person, sales, segment)""")
 def inline_rows(t):
     rows = t.spark.createDataFrame(
-        [("GOOG", "Sam", 200, "BUILDING"), ("GOOG", "Charlie", 120, "MACHINERY"), ("MSFT", "Amy", 340, "HOUSEHOLD")],
+        [("north", "Ida", 210, "BUILDING"), ("north", "Noor", 95, "MACHINERY"), ("south", "Lev", 330, "HOUSEHOLD")],
         "company string, person string, sales int, segment string")
     per_segment = t.customer.groupBy(c("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("customers"))
     return rows.join(per_segment, "segment", "left").na.fill(0, ["customers"]).drop("segment")
