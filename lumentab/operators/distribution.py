@@ -62,8 +62,8 @@ def hexbin(df: DataFrame, x: str, y: str, gridsize: int = 25) -> DataFrame:
     clean = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).na.drop()
     ends = clean.agg(F.struct(*[f(c).alias(n + c) for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))])).scalar()
     ny = max(1, int(gridsize / math.sqrt(3)))
-    u = (F.col("x") - F.col("e.lox")) / (F.col("e.hix") - F.col("e.lox")) * gridsize
-    v = (F.col("y") - F.col("e.loy")) / (F.col("e.hiy") - F.col("e.loy")) * ny
+    u = F.coalesce(F.try_divide(F.col("x") - F.col("e.lox"), F.col("e.hix") - F.col("e.lox")), F.lit(0.0)) * gridsize
+    v = F.coalesce(F.try_divide(F.col("y") - F.col("e.loy"), F.col("e.hiy") - F.col("e.loy")), F.lit(0.0)) * ny
     grid = clean.withColumn("e", ends).select(u.alias("u"), v.alias("v")).select(
         "u", "v", F.floor(F.col("u") + 0.5).alias("u0"), F.floor(F.col("v") + 0.5).alias("v0"),
         F.floor("u").alias("u1"), F.floor("v").alias("v1"))
@@ -80,7 +80,8 @@ def hexbin(df: DataFrame, x: str, y: str, gridsize: int = 25) -> DataFrame:
 def kernel_density(df: DataFrame, value: str, points: int = 25) -> DataFrame:
     """Gaussian density on ``points`` grid positions between min and max.
 
-    Bandwidth (4 s^5 / 3 n)^(1/5) with the population deviation s.  A row meets
+    Bandwidth (4 s^5 / 3 n)^(1/5) with the population deviation s; NULL densities
+    where s is 0.  A row meets
     the fixed grid inside its task and is folded into one partial sum per grid
     point there; only those sums are shuffled.
     """
@@ -92,9 +93,9 @@ def kernel_density(df: DataFrame, value: str, points: int = 25) -> DataFrame:
         F.pow(4 * F.pow(F.col("st.s"), 5) / (3 * F.col("st.n")), F.lit(0.2)).alias("h"),
         F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"))
     at = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("k") / F.lit(float(points - 1)))
-    d = grid.select("k", "n", "h", at.alias("at"), ((F.col("x") - at) / F.col("h")).alias("d"))
+    d = grid.select("k", "n", "h", at.alias("at"), F.try_divide(F.col("x") - at, F.col("h")).alias("d"))
     sums = d.groupBy("k", "at", "n", "h").agg(F.sum(F.exp(-0.5 * F.col("d") * F.col("d"))).alias("s"))
-    return sums.select("k", F.col("at").alias("x"), (F.col("s") / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"))
+    return sums.select("k", F.col("at").alias("x"), F.try_divide(F.col("s"), F.col("n") * F.col("h") * math.sqrt(2 * math.pi)).alias("density"))
 
 
 def boxplot(df: DataFrame, value: str, by: Sequence[str], reach: float = 1.5) -> DataFrame:

@@ -106,7 +106,7 @@ def median_diff(t):
 
 @query("tree_depth_sweep", "L14")
 def tree_depth_sweep(t):
-    data = learn.features(vectors(t).withColumn("label", F.get(F.array("f0"), F.lit(0)) * 2 + c("f1")), COLS[2:] + ["f0"])
+    data = learn.features(vectors(t).withColumn("label", c("f0") * 2 + c("f1")), COLS[2:] + ["f0"])
     train, test = learn.split_rows(data, "vec_id", 0.5)
     return learn.depth_sweep(train, test, [1, 5, 9, 13])
 

@@ -37,6 +37,9 @@ class Query:
     def __call__(self, spark: SparkSession, folder: str) -> DataFrame:
         return self.build(Tables(spark, folder))
 
+    def run(self, spark: SparkSession, folder: str) -> DataFrame:
+        return self(spark, folder)
+
 
 REGISTRY: dict[str, Query] = {}
 

@@ -206,10 +206,10 @@ def scan_phone(t):
 # --- dates -----------------------------------------------------------------
 
 @query("ts_parse", "E1", """
-SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN CAST(FLOOR(epoch(ts)) AS BIGINT) END AS seconds FROM events""")
+SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS parsed FROM events""")
 def ts_parse(t):
     text = F.when(c("event_id") % 10 != 0, F.date_format("ts", "dd/MM/yyyy HH:mm:ss")).otherwise("not a time")
-    return t.events.select("event_id", F.unix_seconds(D.parse_ts(text, "dd/MM/yyyy HH:mm:ss")).alias("seconds"))
+    return t.events.select("event_id", F.date_format(D.parse_ts(text, "dd/MM/yyyy HH:mm:ss"), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
 
 
 @query("ts_parts", "E2", "SELECT event_id, CAST(hour(ts) AS INTEGER) AS h, CAST(month(ts) AS INTEGER) AS m, CAST(isodow(ts) - 1 AS INTEGER) AS d FROM events")

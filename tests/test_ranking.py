@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumentab.operators import ranking
-from lumentab.operators.distribution import boxplot, histogram
+from lumentab.operators.distribution import boxplot, hexbin, histogram, histogram2d, kernel_density
 
 
 def values():
@@ -72,3 +72,10 @@ def test_boxplot_whiskers(spark):
     q1, med, q3 = np.quantile(data, [0.25, 0.5, 0.75])
     assert (row.q1, row.med, row.q3) == (q1, med, q3)
     assert row.n_outliers == sum(x > q3 + 1.5 * (q3 - q1) for x in data)
+
+
+def test_constant_columns_do_not_divide_by_zero(spark):
+    df = spark.createDataFrame([(2.0, 3.0)] * 4, "x double, y double")
+    assert [r.n for r in hexbin(df, "x", "y").collect()] == [4]
+    assert {r.density for r in kernel_density(df, "x", 3).collect()} == {None}
+    assert [r.n for r in histogram2d(df, "x", "y", (5, 5)).collect()] == [4]
