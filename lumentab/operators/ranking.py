@@ -13,6 +13,7 @@ column, so a value shared by a third of all rows is not one task either.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -33,11 +34,16 @@ def slot_count(df: DataFrame) -> int:
 
 def cut_points(df: DataFrame, value: str, n: int | None = None) -> list[float]:
     """At most ``n`` distinct interior cut points of a numeric or time column."""
+    return sorted(set(_quantile_list(df, value, n)))
+
+
+def _quantile_list(df: DataFrame, value: str, n: int | None) -> list[float]:
+    """The quantiles behind the cut points; a frequent value is there several times."""
     n = n or slot_count(df)
     probs = [i / n for i in range(1, n)]
     numbers = df.select(_as_double(df, value).alias("v"))
     found = numbers.stat.approxQuantile("v", probs, 0.25 / n)
-    return sorted({p for p in found if p == p and abs(p) != _INF})
+    return [p for p in found if p == p and abs(p) != _INF]
 
 
 def _as_double(df: DataFrame, value: str) -> Column:
@@ -52,17 +58,27 @@ def _as_double(df: DataFrame, value: str) -> Column:
     return c.cast("double")
 
 
-def _with_slot(df: DataFrame, value: str, cuts: Sequence[float], out: str) -> DataFrame:
-    """Add the slot number: 2b for the cut point itself, 2b+1 for the gap above it."""
+def _with_slot(df: DataFrame, value: str, cuts: Sequence[float], out: str,
+               copies: Sequence[int] | None = None) -> DataFrame:
+    """Add the slot number: 2b for the cut point itself, 2b+1 for the gap above it.
+
+    With ``copies``, one number per cut point, add it for rows at a cut point as
+    the column ``out`` + "__copies" (1 elsewhere).
+    """
     num, bucket = f"{out}__num", f"{out}__bucket"
     df = df.withColumn(num, _as_double(df, value))
     if not cuts:
-        return df.withColumn(out, F.lit(1)).drop(num)
+        df = df.withColumn(out, F.lit(1)).drop(num)
+        return df if copies is None else df.withColumn(f"{out}__copies", F.lit(1))
     splits = [-_INF, *cuts, _INF]
     df = Bucketizer(splits=splits, inputCol=num, outputCol=bucket, handleInvalid="keep").transform(df)
     b = F.col(bucket).cast("int")
     edge = F.get(F.array(*[F.lit(s) for s in splits]), b)
-    return df.withColumn(out, 2 * b + F.when(F.col(num) == edge, 0).otherwise(1)).drop(num, bucket)
+    df = df.withColumn(out, 2 * b + F.when(F.col(num) == edge, 0).otherwise(1))
+    if copies is not None:
+        at_cut = F.get(F.array(*[F.lit(int(k)) for k in (1, *copies, 1)]), b)
+        df = df.withColumn(f"{out}__copies", F.when(F.col(num) == edge, at_cut).otherwise(1))
+    return df.drop(num, bucket)
 
 
 def with_row_number(
@@ -79,18 +95,24 @@ def with_row_number(
     ``order_by`` alone must be.  NULL order keys come last.
     """
     slot, sub = "__slot", "__sub"
-    cuts = cut_points(df, order_by, slots)
-    marked = _with_slot(df, order_by, cuts, slot)
+    often = Counter(_quantile_list(df, order_by, slots))
+    cuts = sorted(often)
+    marked = _with_slot(df, order_by, cuts, slot, [often[x] for x in cuts])
+    missing = F.col(order_by).isNull()
     # numbers beyond 2**53 share a double: their cut slots hold several values
     single = all(abs(c) < _EXACT_DOUBLE for c in cuts)
     if tie is not None and single:
         tie_cuts = cut_points(df, tie, slots)
         marked = _with_slot(marked, tie, tie_cuts, sub)
-        marked = marked.withColumn(sub, F.when(F.col(slot) % 2 == 0, F.col(sub)).otherwise(0))
+        # a value that fills k quantiles is divided into k parts, so that all
+        # parts together are no more than the quantiles; NULLs into all tie slots
+        parts = F.floor(F.col(sub) * F.col(f"{slot}__copies") / F.lit(2 * len(tie_cuts) + 2)).cast("int")
+        marked = marked.withColumn(sub, F.when(missing, F.col(sub)).otherwise(parts))
     else:
         marked = marked.withColumn(sub, F.lit(0))
+    marked = marked.drop(f"{slot}__copies")
     # NULL order keys are kept in a slot of their own, behind all others
-    marked = marked.withColumn(slot, F.when(F.col(order_by).isNull(), 2_000_000_000).otherwise(F.col(slot)))
+    marked = marked.withColumn(slot, F.when(missing, 2_000_000_000).otherwise(F.col(slot)))
     keys = [F.col(order_by).asc_nulls_last() if ascending else F.col(order_by).desc_nulls_last()]
     if tie is not None:
         keys.append(F.col(tie).asc())

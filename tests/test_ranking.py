@@ -44,12 +44,15 @@ def test_row_numbers_with_a_hot_value_and_nulls(spark, ascending):
     assert got["id"].tolist() == want["id"].tolist()
 
 
-def test_row_numbers_are_not_made_in_one_task(spark):
-    df = spark.range(5000).withColumn("v", F.lit(1.0))  # all rows tie
-    plan = ranking.with_row_number(df, "v", tie="id")._jdf.queryExecution().executedPlan().toString()
-    assert "Window" in plan
-    slots = ranking.with_row_number(df, "v", tie="id").where("rn % 500 = 0").count()
-    assert slots == 10
+def test_a_shared_value_and_nulls_are_ordered_in_parts(spark):
+    df = spark.range(6000).withColumn("v", F.when(F.col("id") % 3 != 0, 1.0))  # one value and NULL
+    numbered = ranking.with_row_number(df, "v", tie="id")
+    got = numbered.orderBy("rn").select("rn", "id").collect()
+    want = [i for i in range(6000) if i % 3] + list(range(0, 6000, 3))
+    assert [r.id for r in got] == want and [r.rn for r in got] == list(range(1, 6001))
+    # the ordering window is partitioned by slot and part, never by the whole frame
+    window = [line for line in numbered._jdf.queryExecution().executedPlan().toString().splitlines() if "row_number()" in line]
+    assert window and all("__slot" in line and "__sub" in line for line in window)
 
 
 def test_first_reaching_half_of_the_weight(spark):
