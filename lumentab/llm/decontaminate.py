@@ -1,9 +1,11 @@
 """Benchmark decontamination with a broadcast hash set of normalised n-grams.
 
-The windows of the benchmark are folded to distinct ones, hashed and broadcast;
-documents are scanned once, window by window, without a shuffle of their texts.
-A window that meets an entry is verified word by word before it counts.  Only
-DataFrame functions are used.
+The windows of the benchmark are folded to distinct ones, hashed and broadcast.
+A document that holds a window of k words holds an aligned block of (k + 1) / 2
+words of it, so one scan over the blocks of all documents, without a shuffle of
+their texts, tells which documents need a look at every window.  A window that
+meets an entry is verified word by word before it counts.  Only DataFrame
+functions are used.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumentab.llm.common import computed_once, folded_words, row_key, written
+from lumentab.llm.common import broadcast_checked, computed_once, folded_words, row_key, written
 
 #: a word in a text whose letters are not folded yet
 _RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -30,14 +32,21 @@ def benchmark_windows(items: DataFrame, n: int, item_id: str = "item_id", text:
         F.xxhash64("g").alias("hash"), "width", F.array_join("g", " ").alias("gram"), "items")
 
 
+def _blocks(words: Column, width: int, k: int, step: int) -> Column:
+    """Hashes of the runs of ``k`` words at every ``step``-th place, told apart by the width they serve."""
+    return F.when(F.size(words) >= k, F.transform(
+        F.sequence(F.lit(1), F.size(words) - k + 1, F.lit(step)), lambda i: F.xxhash64(F.lit(width), F.slice(words, i, k)))).otherwise(
+        F.array().cast("array<bigint>"))
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, n: int = 10, max_bytes: int = 64 << 20,
                        doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``row_key``, ``doc_id``, ``n_words``, ``spans``, ``items``.
 
     ``spans`` are the verified windows as (start, width) in words, ordered;
     ``items`` the sorted ids, as text, of the items they belong to.  The
-    benchmark is broadcast in parts of at most ``max_bytes``, so documents are
-    scanned once for each part and a benchmark of any size gives the full result.
+    benchmark is broadcast in parts of at most ``max_bytes``, so a benchmark of any
+    size gives the full result.
 
     Null texts, empty texts and an empty benchmark give no spans; a null item id
     is called ``null``; rows equal in id and text give equal rows.
@@ -46,20 +55,34 @@ def find_contamination(docs: DataFrame, items: DataFrame, n: int = 10, max_bytes
     seen = grams.agg(F.sum(F.octet_length("gram") + 64 + F.octet_length(F.array_join("items", ","))),
                      F.collect_set("width")).first()
     parts = max(1, math.ceil((seen[0] or 0) / max_bytes))
+    widths = sorted(seen[1])
     keyed = docs.select(row_key(doc_id, text).alias("row_key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    words = computed_once(keyed, "w", folded_words(F.col("text"))).select("row_key", "doc_id", "w")
+    words = computed_once(keyed, "w", folded_words(F.col("text"))).drop("text")
+    blocks = [_blocks(F.col("w"), k, (k + 1) // 2, (k + 1) // 2) for k in widths] or [F.array().cast("array<bigint>")]
+    scanned = written(words.select("row_key", "doc_id", F.size("w").cast("bigint").alias("n_words"), F.concat(*blocks).alias("blocks")), "blocks")
+    flagged = None
+    for k in widths:
+        own = grams.where(F.col("width") == k).select(F.explode(_blocks(F.split("gram", " "), k, (k + 1) // 2, 1)).alias("block")).distinct()
+        for p in range(parts):
+            some = own.where(F.pmod("block", F.lit(parts)) == p)
+            met = scanned.select("row_key", F.explode("blocks").alias("block")).join(F.broadcast(some), "block", "left_semi").select("row_key")
+            flagged = met if flagged is None else flagged.union(met)
+    counted = scanned.select("row_key", "doc_id", "n_words")
     hits = None
-    for width in sorted(seen[1]):
-        hashed = words.withColumn("h", F.when(F.size("w") >= width, F.transform(
-            F.sequence(F.lit(1), F.size("w") - width + 1), lambda i, k=width: F.xxhash64(F.slice("w", i, k)))))
+    if flagged is not None:
+        wanted, _ = broadcast_checked(flagged.distinct(), "flagged")
+        words = computed_once(keyed.join(wanted, "row_key", "left_semi"), "w", folded_words(F.col("text"))).drop("text")
+    for width in widths:
+        hashed = computed_once(words, "h", F.when(F.size("w") >= width, F.transform(
+            F.sequence(F.lit(1), F.size("w") - width + 1), lambda i: F.xxhash64(F.slice("w", i, width)))))
         each = hashed.select("row_key", "doc_id", "w", F.posexplode("h").alias("start", "hash"))
         for p in range(parts):
             part = grams.where((F.col("width") == width) & (F.pmod("hash", F.lit(parts)) == p))
-            met = each.join(F.broadcast(part), "hash").where(
-                F.array_join(F.slice("w", F.col("start") + 1, width), " ") == F.col("gram"))
+            # written as a search in an array, so that it stays a check of hits and no join key made for every window
+            same = F.array_contains(F.array("gram"), F.array_join(F.slice("w", F.col("start") + 1, width), " "))
+            met = each.join(F.broadcast(part), "hash").where(same)
             met = met.select("row_key", "doc_id", F.struct("start", "width").alias("span"), "items")
             hits = met if hits is None else hits.union(met)
-    counted = keyed.select("row_key", "doc_id", F.size(folded_words(F.col("text"))).cast("bigint").alias("n_words"))
     none = F.array().cast("array<struct<start:int,width:int>>"), F.array().cast("array<string>")
     if hits is None:
         return counted.select("*", none[0].alias("spans"), none[1].alias("items"))
@@ -119,10 +142,10 @@ def op10(docs: DataFrame, items: DataFrame) -> DataFrame:
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM documents),
+    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 b AS (
   SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM benchmark),
+    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
 g AS (
   SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS gram
   FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),

@@ -8,6 +8,8 @@ and interval containment.  Only DataFrame functions are used.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,22 +82,28 @@ GENERAL = (
 )
 
 
-def rules() -> list[tuple[str, str, str, int, float, bool]]:
-    """(label, keyword, pattern, priority, confidence, base) of every rule."""
-    out = [(label, phrase.split()[-1] if label != "apache-2" else "apache", phrase, 9, 1.0, True) for label, phrase in BASE]
+def rules() -> list[tuple[str, str, str, str, int, float, bool]]:
+    """(label, keywords, stem, pattern, priority, confidence, base) of every rule.
+
+    A text needs one of the keywords as a word, and the stem anywhere; short names
+    such as ``mit`` are common words in some languages, so a keyword alone says little.
+    """
+    out = [(label, {"cc-by-nc": "cc", "apache-2": "apache"}.get(label, "mit"), "licen" if "licen" in phrase else " by ", phrase, 9, 1.0, True)
+           for label, phrase in BASE]
     for label, keyword, name, short, address in FAMILIES:
-        out += [(label, keyword, t.format(name=name, short=short, address=address), p, c, False) for p, c, t in TEMPLATES]
-    return out + [(label, k, pattern, p, c, False) for label, k, pattern, p, c in GENERAL]
+        stems = (" under ", " identifier ", "licen", f" {address.split()[0]} ", "licen" if "licen" in name else " ", "licen")
+        out += [(label, "|".join([keyword, *(["unlicense"] if label == "unlicense" else [])]), stem,
+                 t.format(name=name, short=short, address=address), p, c, False) for (p, c, t), stem in zip(TEMPLATES, stems)]
+    return out + [(label, k, "licen" if "licen" in pattern else f" {k} ", pattern, p, c, False) for label, k, pattern, p, c in GENERAL]
 
 
 def _table() -> Column:
-    """The rules as one constant array; a keyword may name several words."""
-    rows = []
-    for label, keyword, pattern, priority, confidence, base in rules():
-        words = F.array(*[F.lit(f" {k} ") for k in keyword.split("|")])
-        rows.append(F.struct(F.lit(label).alias("label"), words.alias("keywords"), F.lit(f" (?:{pattern})(?= )").alias("pattern"),
-                             F.lit(priority).alias("priority"), F.lit(confidence).alias("confidence"), F.lit(base).alias("base")))
-    return F.array(*rows)
+    """The rules as one constant array."""
+    rows = [{"label": label, "keywords": [f" {k} " for k in keyword.split("|")], "stem": stem, "pattern": f" (?:{pattern})(?= )",
+             "priority": priority, "confidence": confidence, "base": base}
+            for label, keyword, stem, pattern, priority, confidence, base in rules()]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<label:string,keywords:array<string>,stem:string,pattern:string,"
+                       "priority:int,confidence:double,base:boolean>>")
 
 
 def _places(folded: Column, pattern: Column) -> Column:
@@ -141,12 +149,13 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
                        F.coalesce(F.col(text), F.lit("")).alias("text"))
     folded = computed_once(rows, "w", F.concat(F.lit(" "), F.trim(F.regexp_replace(
         lower_ascii(F.col("text")), NOT_WORD, " ")), F.lit(" "))).drop("text")
-    words = sorted({f" {k} " for r in rules() for k in r[1].split("|")})
-    some = F.col("w").rlike("|".join(words))
+    # a stem that is only a blank stands for the rule's keywords
+    needed = sorted({stem for r in rules() if (stem := r[2]) != " "} | {f" {k} " for r in rules() if r[2] == " " for k in r[1].split("|")})
+    some = F.exists(F.array(*[F.lit(k) for k in needed]), lambda k: F.contains(F.col("w"), k))
     gated = folded.select(
         "row", "doc_id", "w", F.when(F.col("w") == "  ", 0).otherwise(
             F.length("w") - F.length(F.replace("w", F.lit(" "), F.lit(""))) - 1).cast("bigint").alias("n_words"),
-        F.when(some, F.filter(_table(), lambda r: F.exists(r["keywords"], lambda k: F.contains(F.col("w"), k)))).alias("rules"))
+        F.when(some, F.filter(_table(), lambda r: F.contains(F.col("w"), r["stem"]) & F.exists(r["keywords"], lambda k: F.contains(F.col("w"), k)))).alias("rules"))
     each = gated.select("row", "doc_id", "n_words", "w", F.explode_outer("rules").alias("r"))
     hits = each.select("row", "doc_id", "n_words", "r", F.when(F.col("r").isNotNull(), _places(F.col("w"), F.col("r.pattern"))).alias("at"))
     spans = hits.select("row", "doc_id", "n_words", F.col("r.base").alias("base"), F.transform("at", lambda p: F.struct(
