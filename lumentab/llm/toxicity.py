@@ -23,11 +23,11 @@ from lumentab.llm.common import written
 from lumentab.llm.quality import fold
 
 LETTERS = 48
-#: subsequences are told apart by so many values of a hash
+#: subsequences are told apart by so many values of a hash, 18 bits of it
 TABLE = 1 << 18
 #: beginnings of words, of so many letters, that are counted beside the words
 HEADS = (5, 6, 7)
-SPAN = 6
+SPAN = 5
 DECAY = 0.6
 PIECE, STEP = 20, 12
 # fixed values: signs that stand for letters
@@ -72,9 +72,11 @@ def _places(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _codes(words: list[str]) -> np.ndarray:
-    letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1).astype(np.int64)
-    codes = np.where((letters >= 97) & (letters <= 122), letters - 97, 26 + letters % (LETTERS - 28))
-    return np.pad(codes, ((0, 0), (1, 1)), constant_values=(LETTERS - 2, LETTERS - 1))
+    letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1)
+    codes = np.full((letters.shape[1] + 2, len(words)), LETTERS - 2, np.uint32)
+    codes[1:-1] = np.where((letters >= 97) & (letters <= 122), letters - 97, 26 + letters % (LETTERS - 28)).T
+    codes[-1] = LETTERS - 1
+    return codes
 
 
 def subsequences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -84,11 +86,13 @@ def subsequences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         if n < 3:
             continue
         at, (places, weights) = np.flatnonzero(lengths == n), _places(int(n) + 2)
-        for cut in np.array_split(at, max(1, len(at) * len(weights) // 2_000_000)):
+        for cut in np.array_split(at, max(1, len(at) * len(weights) // 500_000)):
             c = _codes([words[i] for i in cut])
             i, j, k, m = places.T
-            whole = ((c[:, i] * LETTERS + c[:, j]) * LETTERS + c[:, k]) * LETTERS + np.where(k == m, LETTERS - 3, c[:, m])
-            yield cut, (whole * 0x9E3779B1 >> 15) & (TABLE - 1), weights
+            last = c[m]
+            last[k == m] = LETTERS - 3
+            whole = ((c[i] * np.uint32(LETTERS) + c[j]) * np.uint32(LETTERS) + c[k]) * np.uint32(LETTERS) + last
+            yield cut, ((whole * np.uint32(0x9E3779B1)) >> np.uint32(14)).T, weights
 
 
 class Words:
@@ -103,35 +107,48 @@ class Words:
     def decide(self, words: list[str]) -> np.ndarray:
         out = np.full(len(words), self.bias)
         for at, codes, weights in subsequences(words):
-            out[at] += self.table[codes] @ weights
+            out[at] += weights @ self.table[codes.T]
         return out
 
-    def known(self, wanted: set[str], limit: int = 300_000) -> dict[str, float]:
+    def known(self, wanted: set[str], limit: int = 500_000) -> dict[str, float]:
         """Values of tokens, the largest of a long token's pieces; kept between calls up to ``limit``."""
         if len(self.cache) > limit:
             self.cache = {}
         new = [t for t in wanted if t not in self.cache]
         cut = [pieces(plain(t)) for t in new]
         flat = [p for c in cut for p in c]
-        value, at = self.decide(flat), 0
-        for t, c in zip(new, cut):
-            self.cache[t] = float(value[at : at + len(c)].max())
-            at += len(c)
+        if new:
+            starts = np.cumsum([0, *map(len, cut[:-1])])
+            self.cache.update(zip(new, np.maximum.reduceat(self.decide(flat), starts).tolist()))
         return self.cache
 
 
-def document_features(text: str | None, machine: Words) -> list[float]:
+def _features(found: set[str], known: dict[str, float], bias: float) -> list[float]:
     """Of the word values: the three largest, how many are positive, and the number of distinct words."""
-    found = tokens(text)
-    known = machine.known(found)
-    value = np.fromiter((known[t] for t in found), np.float64, len(found))
-    top = np.full(3, machine.bias)
+    value = np.fromiter(map(known.__getitem__, found), np.float64, len(found))
+    top = np.full(3, bias)
     n = min(3, len(value))
     if n:
         top[:n] = np.sort(np.partition(value, len(value) - n)[len(value) - n :])[::-1]
     return [*np.clip(top, -3, 3).tolist(), float(np.log1p((value > 0).sum())), float(np.log1p((value > 0.5).sum())), float(np.log1p(len(value)))]
 
 
+def text_features(texts: list[str | None], machine: Words, at_once: int = 1 << 20) -> np.ndarray:
+    """A row per text; texts are taken together up to ``at_once`` characters, so new words meet the machine in bulk."""
+    out: list[list[float]] = []
+    at = 0
+    while at < len(texts):
+        to, held = at, 0
+        while to < len(texts) and (to == at or held < at_once):
+            held += len(texts[to] or "")
+            to += 1
+        found = [tokens(t) for t in texts[at:to]]
+        known = machine.known(set().union(*found))
+        out += [_features(f, known, machine.bias) for f in found]
+        at = to
+    return np.array(out)
+
+
 def _sketch_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(y, sketch, word): the distinct words of a document, with two minhashes of its long ones, which copies share."""
     for b in batches:
@@ -253,7 +270,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, per_class: i
 
     def features(batches):
         for b in batches:
-            x = [document_features(t, machine) for t in b.column("text").to_pylist()]
+            x = text_features(b.column("text").to_pylist(), machine).tolist()
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
     held = rows.where("not words").select("y", "text")
@@ -279,7 +296,7 @@ def score_toxicity(docs: DataFrame, model: dict | None, doc_id: str = "doc_id",
     def run(batches):
         for b in batches:
             if b.num_rows:
-                x = np.array([document_features(t, model["machine"]) for t in b.column("text").to_pylist()])
+                x = text_features(b.column("text").to_pylist(), model["machine"])
                 z = model["beta"][0] + ((x - model["mean"]) / model["spread"]) @ model["beta"][1:]
                 p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p, pa.float64())], names=["doc_id", "score"])
@@ -296,7 +313,7 @@ def drop_toxic(docs: DataFrame, model: dict | None, threshold: float = 0.3, text
     def run(batches):
         for b in batches:
             if b.num_rows:
-                x = np.array([document_features(t, model["machine"]) for t in b.column(at).to_pylist()])
+                x = text_features(b.column(at).to_pylist(), model["machine"])
                 z = model["beta"][0] + ((x - model["mean"]) / model["spread"]) @ model["beta"][1:]
                 yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) < threshold))
 
