@@ -38,11 +38,15 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see.
 
     A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset,
-    as in tests on one machine, is a temporary folder made and recorded.
+    as in tests on one machine, is a temporary folder made and recorded; on a
+    cluster a missing setting is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="lumentab-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
