@@ -151,10 +151,12 @@ def network_classifier(inputs: int, classes: int, hidden: Sequence[int] = (10, 2
 
 
 def depth_sweep(train: DataFrame, test: DataFrame, depths: Sequence[int], label: str = "label") -> DataFrame:
-    """Median absolute difference on both sets for each tree depth (30 is Spark's limit)."""
+    """Median absolute difference on both sets for each tree depth; 30 is Spark's limit, more is an error."""
+    if max(depths, default=0) > 30:
+        raise ValueError("Spark grows trees to a depth of 30 at most")
     out = None
     for depth in depths:
-        model = tree_regressor(min(depth, 30), label).fit(train)
+        model = tree_regressor(depth, label).fit(train)
         row = None
         for name, part in (("train", train), ("test", test)):
             m = median_difference(model.transform(part), label, "prediction").select(

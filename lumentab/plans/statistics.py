@@ -133,10 +133,10 @@ def pivot_mean(t):
 
 @query("unstack", "A14", """
 SELECT CAST(isodow(ts) - 1 AS INTEGER) AS weekday, """ + ", ".join(
-    f"NULLIF(COUNT(*) FILTER (hour(ts) = {h}), 0) AS h{h}" for h in (0, 6, 12, 18)) + " FROM events GROUP BY 1")
+    f"NULLIF(COUNT(*) FILTER (hour(ts) = {h}), 0) AS h{h}" for h in range(24)) + " FROM events GROUP BY 1")
 def unstack(t):
     df = t.events.select(F.weekday("ts").alias("weekday"), F.hour("ts").alias("h"))
-    hours = (0, 6, 12, 18)
+    hours = range(24)
     wide = df.groupBy("weekday").pivot("h", list(hours)).count()
     return wide.select("weekday", *[c(f"`{h}`").alias(f"h{h}") for h in hours])
 
