@@ -8,6 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumentab.operators.joins import checked_broadcast
+
 from lumentab.operators.ranking import exact_quantiles
 
 
@@ -73,13 +75,14 @@ def rows_at_max(df: DataFrame, value: str) -> DataFrame:
 def extreme_per_group(df: DataFrame, by: str, value: str, label: str, largest: bool = True) -> DataFrame:
     """Label of the extreme value per group; a tie goes to the smallest label.
 
-    Two hash aggregations: the extreme per (group, value-label minimum) would
-    need a sort, so the label minimum is taken per (group, value) first.
+    The extreme of each group is one row; the rows that hold it are found by a
+    second scan and a join with that short table, so both shuffles carry only
+    partial results of tasks.
     """
-    per_value = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.min(label).alias(label))
-    pick = F.max_by if largest else F.min_by
-    edge = F.max if largest else F.min
-    return per_value.groupBy(by).agg(pick(label, value).alias(label), edge(value).alias(value))
+    edge = (F.max if largest else F.min)(value)
+    extremes = checked_broadcast(df.where(F.col(value).isNotNull()).groupBy(by).agg(edge.alias("__edge")).withColumnRenamed(by, "__by"))
+    held = df.join(extremes, df[by].eqNullSafe(extremes["__by"]) & (df[value] == extremes["__edge"]))
+    return held.groupBy(by).agg(F.min(label).alias(label), F.first(value).alias(value))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:

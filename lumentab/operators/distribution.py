@@ -32,7 +32,7 @@ def histogram(df: DataFrame, value: str, bins: int = 10, by: Sequence[str] = ())
     scanned; what is shuffled are the bin counts of each task.
     """
     by = list(by)
-    clean = df.select(*by, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    clean = df.select(*by, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
     ends = [F.min("__v").alias("lo"), F.max("__v").alias("hi")]
     if by:
         ranged = clean.join(checked_broadcast(clean.groupBy(*by).agg(*ends)), by)

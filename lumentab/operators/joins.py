@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from lumentab.session import ensure_checkpoint_dir
 
 BROADCAST_ROWS = 100_000
+#: of all values of a broadcast table, written out
+BROADCAST_BYTES = 64 << 20
 
 
 def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -24,12 +26,13 @@ def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataF
 
     The size of an aggregate is not known before it ran, so a plain join would
     shuffle the large side as well.  The table is written once to the shared
-    folder and counted; beyond ``max_rows`` it is returned without the hint and
-    the join is a sort-merge join.
+    folder, counted and measured; beyond ``max_rows`` or ``BROADCAST_BYTES`` it is
+    returned without the hint and the join is a sort-merge join.
     """
     ensure_checkpoint_dir(small.sparkSession)
     kept = small.checkpoint()
-    return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
+    rows, size = kept.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(kept) if rows <= max_rows and (size or 0) <= BROADCAST_BYTES else kept
 
 
 def index_join(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:

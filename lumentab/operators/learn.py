@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumentab.operators.ranking import exact_quantiles, with_row_number
+from lumentab.operators.sampling import key_normal
 from lumentab.session import ensure_checkpoint_dir
 
 c = F.col
@@ -175,7 +176,7 @@ def blobs(df: DataFrame, key: str, centres: Sequence[tuple[float, float]], sprea
     which = F.pmod(F.xxhash64(F.lit(seed), c(key)), F.lit(len(centres))).cast("int")
     xs, ys = (F.array(*[F.lit(float(p[i])) for p in centres]) for i in (0, 1))
     return df.select(key, which.alias("blob")).select(
-        key, "blob", (F.get(xs, c("blob")) + F.randn(seed) * spread).alias("x"), (F.get(ys, c("blob")) + F.randn(seed + 1) * spread).alias("y"))
+        key, "blob", (F.get(xs, c("blob")) + key_normal(key, seed) * spread).alias("x"), (F.get(ys, c("blob")) + key_normal(key, seed + 1) * spread).alias("y"))
 
 
 def principal_components(df: DataFrame, columns: Sequence[str], k: int = 2):

@@ -29,7 +29,7 @@ _EXACT_DOUBLE = 2.0**53
 def slot_count(df: DataFrame) -> int:
     """How many cut points to use: follows the shuffle width of the session."""
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(64, min(4096, width))
+    return max(64, width)
 
 
 def cut_points(df: DataFrame, value: str, n: int | None = None) -> list[float]:

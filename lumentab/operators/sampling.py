@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,27 @@ def sample_fraction(df: DataFrame, fraction: float, key: str, seed: int = 0) ->
     return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(buckets)) < int(fraction * buckets))
 
 
+def key_uniform(key: str, seed: int) -> Column:
+    """A number in [0, 1) from 52 bits of a hash of seed and key: the same for any partitioning and on every retry."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def key_normal(key: str, seed: int) -> Column:
+    """A standard normal number from two uniform ones (Box and Muller)."""
+    return F.sqrt(-2 * F.ln(1 - key_uniform(key, seed))) * F.cos(2 * math.pi * key_uniform(key, seed + 1_000_003))
+
+
+def sample_replaced(df: DataFrame, rate: float, key: str, seed: int = 0) -> DataFrame:
+    """Sample with replacement: a row comes back as often as its Poisson number, drawn from its key, says."""
+    steps, term = [math.exp(-rate)], math.exp(-rate)
+    while 1 - steps[-1] > 2.0**-52 and term > 0:
+        term *= rate / len(steps)
+        steps.append(steps[-1] + term)
+    times = sum((F.when(key_uniform(key, seed) >= s, 1).otherwise(0) for s in steps[1:]), F.when(key_uniform(key, seed) >= steps[0], 1).otherwise(0))
+    drawn = df.withColumn("__n", times).where("__n > 0")
+    return drawn.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n")
+
+
 def shuffle_rows(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
     """All rows in a repeatable random order (a distributed range sort)."""
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)

@@ -6,11 +6,9 @@ documents x vocabulary, and no vocabulary passes through the driver.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer, StopWordsRemover
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,25 +66,34 @@ def tfidf(bag: DataFrame, doc: str, n_docs: Column) -> DataFrame:
 
 
 def naive_bayes(train: DataFrame, target: DataFrame, doc: str, label: str, classes: Sequence,
-                smoothing: float = 1.0) -> DataFrame:
+                smoothing: float = 1.0, train_docs: DataFrame | None = None, target_docs: DataFrame | None = None) -> DataFrame:
     """Multinomial naive Bayes: log score per class and the best class.
 
     ``train`` is a labelled bag (doc, label, term, tf), ``target`` a bag
     (doc, term, tf).  Terms unknown to the training bag are ignored; a tie goes
     to the first class.  ``classes`` is the short list of labels.  The fitted
     table, one row per term, is written once and read for totals and scores.
+
+    A bag does not hold documents without terms.  ``train_docs`` (doc, label) and
+    ``target_docs`` (doc) list all documents, one row each: the shares of the classes are
+    then counted over the first, and every document of the second gets a row,
+    scored by those shares alone if it holds no known term.
     """
     ensure_checkpoint_dir(train.sparkSession)
     n_c = [F.sum(F.when(F.col(label) == k, F.col("tf")).otherwise(0)).alias(f"n{i}") for i, k in enumerate(classes)]
     terms = train.groupBy("term").agg(*n_c).checkpoint()
     totals = terms.agg(F.struct(F.count(F.lit(1)).alias("v"), *[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(classes))])).scalar()
-    docs = train.select(doc, label).distinct().agg(F.struct(
+    listed = train.select(doc, label).distinct() if train_docs is None else train_docs.select(doc, label)
+    docs = listed.agg(F.struct(
         F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(label) == k).alias(f"d{i}") for i, k in enumerate(classes)])).scalar()
     known = target.join(terms, "term").withColumn("tot", totals)
     scores = known.groupBy(doc).agg(*[
         F.sum(F.col("tf") * (F.ln(F.col(f"n{i}") + smoothing) - F.ln(F.col(f"tot.n{i}") + smoothing * F.col("tot.v")))).alias(f"s{i}")
-        for i in range(len(classes))]).withColumn("p", docs)
-    out = scores.withColumns({f"score_{k}": F.col(f"s{i}") + F.ln(F.col(f"p.d{i}") / F.col("p.n")) for i, k in enumerate(classes)})
+        for i in range(len(classes))])
+    if target_docs is not None:
+        scores = target_docs.select(doc).join(scores, doc, "left")
+    scores = scores.withColumn("p", docs)
+    out = scores.withColumns({f"score_{k}": F.coalesce(F.col(f"s{i}"), F.lit(0.0)) + F.ln(F.col(f"p.d{i}") / F.col("p.n")) for i, k in enumerate(classes)})
     best = F.greatest(*[F.col(f"score_{k}") for k in classes])
     choice = F.lit(None)
     for k in reversed(list(classes)):
@@ -94,12 +101,23 @@ def naive_bayes(train: DataFrame, target: DataFrame, doc: str, label: str, class
     return out.select(doc, *[f"score_{k}" for k in classes], choice.alias("prediction"))
 
 
-def text_pipeline(label: str = "label", text: str = "text", vocabulary: int = 1 << 16) -> Pipeline:
-    """Tokens, stop words, counts, idf and naive Bayes as one Spark ML pipeline."""
-    return Pipeline(stages=[
-        RegexTokenizer(inputCol=text, outputCol="words", pattern=WORD, gaps=False),
-        StopWordsRemover(inputCol="words", outputCol="kept"),
-        CountVectorizer(inputCol="kept", outputCol="counts", vocabSize=vocabulary),
-        IDF(inputCol="counts", outputCol="features"),
-        NaiveBayes(labelCol=label, featuresCol="features", smoothing=1.0, modelType="multinomial"),
-    ])
+def text_pipeline(train: DataFrame, target: DataFrame, doc: str, label: str, classes: Sequence, analyse: Callable[[Column], Column],
+                  smoothing: float = 1.0) -> DataFrame:
+    """Bag of words, tf-idf and naive Bayes, fitted on ``train`` and applied to ``target``.
+
+    ``train`` is (doc, label, text), ``target`` is (doc, text), one row per
+    document.  ``analyse`` makes the array of words of a text.  Document
+    frequencies come from ``train``; the weights of a document are scaled to
+    length 1 over the terms known from there.  All terms count: the vocabulary
+    stays a table.  Every document of ``target`` gets a row.
+    """
+    bags = [bag_of_words(df, doc, analyse(F.col("text"))) for df in (train, target.select(doc, "text"))]
+    ensure_checkpoint_dir(train.sparkSession)
+    known = bags[0].groupBy("term").agg(F.count(F.lit(1)).alias("df")).checkpoint()
+    n_docs = train.agg(F.count(F.lit(1))).scalar()
+    weighed = []
+    for rows in bags:
+        w = rows.join(known, "term").withColumn("w", F.col("tf") * (F.ln((1 + n_docs) / (1 + F.col("df"))) + 1))
+        length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))
+        weighed.append(w.withColumn("tf", F.col("w") / length).drop("w", "df"))
+    return naive_bayes(*weighed, doc, label, classes, smoothing, train.select(doc, label), target.select(doc))

@@ -11,20 +11,29 @@ from pyspark.sql import functions as F
 
 # fixed values: elements that have no end tag
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+# fixed values: elements whose end tag may be left out, what closes them, and what they may not be closed through
+_BLOCKS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+IMPLIED = {"li": (frozenset(["li"]), frozenset(["ul", "ol"])), "p": (_BLOCKS, frozenset(["body", "div", "td", "th", "li", "button"])),
+           "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])), "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])),
+           "td": (frozenset(["td", "th", "tr"]), frozenset(["table"])), "th": (frozenset(["td", "th", "tr"]), frozenset(["table"])),
+           "tr": (frozenset(["tr"]), frozenset(["table"])), "option": (frozenset(["option"]), frozenset(["select"]))}
 
 
 def title(html: Column) -> Column:
-    """Text of the first title element, NULL without one."""
-    return F.nullif(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit(""))
+    """Text of the first title element, NULL without one; the usual character references are decoded."""
+    text = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(sign))
+    return F.nullif(text, F.lit(""))
 
 
 def attribute_values(df: DataFrame, page: str, html: str, names: Sequence[str] = ("href", "src", "title")) -> DataFrame:
-    """(page, attribute, value) for every double-quoted attribute of the given names."""
+    """(page, attribute, value) for every attribute of the given names, quoted in either way or not at all."""
     wanted = "|".join(names)
-    hit = F.explode(F.regexp_extract_all(html, F.lit(rf'\s(?:{wanted})="[^"]*"'), F.lit(0)))
+    hit = F.explode(F.regexp_extract_all(html, F.lit(rf"""(?<=\s)(?:{wanted})\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'=<>`]+)"""), F.lit(0)))
     found = df.select(page, hit.alias("hit"))
     return found.select(
-        page, F.regexp_extract("hit", r"\s(\w+)=", 1).alias("attribute"), F.regexp_extract("hit", r'="([^"]*)"', 1).alias("value"))
+        page, F.regexp_extract("hit", r"^(\w+)", 1).alias("attribute"), F.regexp_extract("hit", r"""(?s)=\s*(["']?)(.*)\1$""", 2).alias("value"))
 
 
 class _Elements(HTMLParser):
@@ -37,6 +46,12 @@ class _Elements(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         attrs = {k: v or "" for k, v in attrs}
+        for depth in range(len(self.open) - 1, -1, -1):
+            closers, walls = IMPLIED.get(self.open[depth]["tag"], ((), ()))
+            if tag in closers:
+                del self.open[depth:]
+            elif any(tag in closed and self.open[depth]["tag"] in through for closed, through in IMPLIED.values()):
+                break
         item = {"tag": tag, "class": attrs.get("class"), "text": [], "attrs": attrs}
         if item["class"] is not None:
             self.found.append(item)

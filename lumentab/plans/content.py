@@ -8,6 +8,7 @@ from lumentab.operators import text as tx
 from lumentab.operators import userfuncs as uf
 from lumentab.operators import web
 from lumentab.operators.aggregate import describe
+from lumentab.operators.joins import checked_broadcast
 from lumentab.plans.registry import query
 from lumentab.plans.statistics import panel, rounded, _DESC, _PANEL
 from lumentab.session import spread
@@ -28,9 +29,11 @@ def text_length(t):
     return rounded(describe(d, "n", ["quality"]), 4)
 
 
-@query("text_process", "X2", rf"""
-SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(text, '[!-/:-@\[-`{{-~]', '', 'g'),
- '[\t\n\x0b\f\r\x1c-\x1f\x{{85}}\p{{Z}}]+'), lambda w: w <> '' AND NOT list_contains([{_STOP}], LOWER(w))), ' ') AS words FROM documents""")
+_CLEAN = rf"""list_filter(regexp_split_to_array(regexp_replace(text, '[!-/:-@\[-`{{-~]', '', 'g'),
+ '[\t\n\x0b\f\r\x1c-\x1f\x{{85}}\p{{Z}}]+'), lambda w: w <> '' AND NOT list_contains([{_STOP}], LOWER(w)))"""
+
+
+@query("text_process", "X2", f"SELECT doc_id, array_to_string({_CLEAN}, ' ') AS words FROM documents")
 def text_process(t):
     return spread(t.documents.select("doc_id", "text")).select("doc_id", F.array_join(tx.clean_words(c("text"), STOP), " ").alias("words"))
 
@@ -76,27 +79,49 @@ WITH {_BAG}, tr AS (SELECT doc_id, quality, term, tf FROM bag JOIN labels USING
 te AS (SELECT doc_id, term, tf FROM bag JOIN labels USING (doc_id) WHERE doc_id % 3 = 0),
 m AS (SELECT term, SUM(CASE WHEN quality = 0 THEN tf ELSE 0 END) AS n0, SUM(CASE WHEN quality = 1 THEN tf ELSE 0 END) AS n1 FROM tr GROUP BY 1),
 s AS (SELECT COUNT(*) AS v, SUM(n0) AS t0, SUM(n1) AS t1 FROM m),
-p AS (SELECT LN(COUNT(DISTINCT doc_id) FILTER (quality = 0) / COUNT(DISTINCT doc_id)) AS p0, LN(COUNT(DISTINCT doc_id) FILTER (quality = 1) / COUNT(DISTINCT doc_id)) AS p1 FROM tr),
-sc AS (SELECT doc_id, SUM(tf * LN((n0 + 1) / (t0 + v))) + ANY_VALUE(p0) AS s0, SUM(tf * LN((n1 + 1) / (t1 + v))) + ANY_VALUE(p1) AS s1 FROM te JOIN m USING (term), s, p GROUP BY doc_id)
+p AS (SELECT LN(COUNT(*) FILTER (quality = 0) / COUNT(*)) AS p0, LN(COUNT(*) FILTER (quality = 1) / COUNT(*)) AS p1 FROM documents JOIN labels USING (doc_id) WHERE doc_id % 3 <> 0),
+k AS (SELECT doc_id, SUM(tf * LN((n0 + 1) / (t0 + v))) AS s0, SUM(tf * LN((n1 + 1) / (t1 + v))) AS s1 FROM te JOIN m USING (term), s GROUP BY doc_id),
+sc AS (SELECT doc_id, COALESCE(s0, 0) + p0 AS s0, COALESCE(s1, 0) + p1 AS s1 FROM documents JOIN labels USING (doc_id) LEFT JOIN k USING (doc_id), p WHERE doc_id % 3 = 0)
 SELECT doc_id, ROUND(s0, 4) AS score_0, ROUND(s1, 4) AS score_1, CASE WHEN s0 >= s1 THEN 0 ELSE 1 END AS prediction FROM sc""")
 def naive_bayes(t):
     docs = spread(t.documents.select("doc_id", "text")).join(t.labels.select("doc_id", "quality"), "doc_id")
     labelled = tx.bag_of_words(docs, "doc_id", tx.tokens(c("text")))
     train, test = labelled.where(c("doc_id") % 3 != 0), labelled.where(c("doc_id") % 3 == 0)
-    return rounded(tx.naive_bayes(train, test.drop("quality"), "doc_id", "quality", [0, 1]), 4)
+    return rounded(tx.naive_bayes(train, test.drop("quality"), "doc_id", "quality", [0, 1],
+                                  train_docs=docs.where(c("doc_id") % 3 != 0), target_docs=docs.where(c("doc_id") % 3 == 0)), 4)
+
 
+# one, three or five stars: toxic and poor, in between, neither
+_STARS = "3 + 2 * quality - 2 * toxic"
 
-@query("text_pipeline", "X7, X8")
+
+@query("text_pipeline", "X7, X8", rf"""
+WITH d AS (SELECT doc_id, {_STARS} AS stars, {_CLEAN} AS words FROM documents JOIN labels USING (doc_id) WHERE {_STARS} IN (1, 5)),
+bag AS (SELECT doc_id, stars, term, COUNT(*) AS tf FROM (SELECT doc_id, stars, UNNEST(words) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, COUNT(*) AS df FROM bag WHERE doc_id % 10 < 7 GROUP BY term),
+n AS (SELECT COUNT(*) AS n FROM d WHERE doc_id % 10 < 7),
+w AS (SELECT doc_id, stars, term, tf * (LN((1 + n) / (1 + df)) + 1) AS w FROM bag JOIN df USING (term), n),
+x AS (SELECT doc_id, stars, term, w / SQRT(SUM(w * w) OVER (PARTITION BY doc_id)) AS x FROM w),
+m AS (SELECT term, SUM(CASE WHEN stars = 1 THEN x ELSE 0 END) AS n0, SUM(CASE WHEN stars = 5 THEN x ELSE 0 END) AS n1 FROM x WHERE doc_id % 10 < 7 GROUP BY term),
+s AS (SELECT COUNT(*) AS v, SUM(n0) AS t0, SUM(n1) AS t1 FROM m),
+p AS (SELECT LN(COUNT(*) FILTER (stars = 1) / COUNT(*)) AS p0, LN(COUNT(*) FILTER (stars = 5) / COUNT(*)) AS p1 FROM d WHERE doc_id % 10 < 7),
+k AS (SELECT doc_id, SUM(x * LN((n0 + 1) / (t0 + v))) AS s0, SUM(x * LN((n1 + 1) / (t1 + v))) AS s1 FROM x JOIN m USING (term), s WHERE doc_id % 10 >= 7 GROUP BY doc_id)
+SELECT doc_id, CAST(stars AS INTEGER) AS label, ROUND(COALESCE(s0, 0) + p0, 4) AS score_1, ROUND(COALESCE(s1, 0) + p1, 4) AS score_5
+FROM d LEFT JOIN k USING (doc_id), p WHERE doc_id % 10 >= 7""")
 def text_pipeline(t):
-    df = t.documents.join(t.labels, "doc_id").where(c("quality").isin(0, 1)).select(
-        "doc_id", "text", c("quality").cast("double").alias("label"))
-    model = tx.text_pipeline().fit(df.where(c("doc_id") % 10 < 7))
-    return model.transform(df.where(c("doc_id") % 10 >= 7)).select("doc_id", "label", "prediction")
+    stars = t.labels.select("doc_id", F.expr(_STARS).cast("int").alias("label"))
+    rated = t.documents.select("doc_id", "text").join(stars, "doc_id").where(c("label").isin(1, 5))
+    train, test = rated.where(c("doc_id") % 10 < 7), rated.where(c("doc_id") % 10 >= 7)
+    out = tx.text_pipeline(train, test, "doc_id", "label", [1, 5], lambda text: tx.clean_words(text, STOP))
+    return rounded(out.drop("prediction").join(test.select("doc_id", "label"), "doc_id"), 4).select("doc_id", "label", "score_1", "score_5")
 
 
 # --- web pages -------------------------------------------------------------
 
-@query("html_title", "H1", r"SELECT page_id, NULLIF(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '') AS title FROM pages")
+@query("html_title", "H1", r"""
+WITH t AS (SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages)
+SELECT page_id, NULLIF(replace(replace(replace(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)),
+ '&nbsp;', chr(160)), '&amp;', '&'), '') AS title FROM t""")
 def html_title(t):
     return t.pages.select("page_id", web.title(c("html")).alias("title"))
 
@@ -178,9 +203,12 @@ def udf_row(t):
 
 @query("udaf", "B6", "SELECT event_type, ROUND(STDDEV_POP(value), 6) AS spread FROM events GROUP BY 1")
 def udaf(t):
+    # values are taken from their group's mean first, so that squares do not cancel
+    means = checked_broadcast(t.events.groupBy("event_type").agg(F.avg("value").alias("mean")))
+    centred = t.events.join(means, "event_type").select("event_type", (c("value") - c("mean")).alias("value"))
     out = uf.aggregate_with(
-        t.events, "event_type", "value", lambda v: (len(v), v.sum(), (v * v).sum()), ["n", "s", "q"],
-        lambda p: F.sqrt(p["q"] / p["n"] - (p["s"] / p["n"]) * (p["s"] / p["n"])), "spread")
+        centred, "event_type", "value", lambda v: (len(v), v.sum(), (v * v).sum()), ["n", "s", "q"],
+        lambda p: F.sqrt(F.greatest(p["q"] / p["n"] - (p["s"] / p["n"]) * (p["s"] / p["n"]), F.lit(0.0))), "spread")
     return rounded(out)
 
 

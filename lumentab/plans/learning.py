@@ -11,14 +11,14 @@ from lumentab.plans.statistics import r, rounded
 
 c = F.col
 
-COLS = [f"f{k}" for k in range(8)]
-_FEATS = ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS f{k}" for k in range(8))
+COLS = [f"f{k}" for k in range(64)]
+_FEATS = ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS f{k}" for k in range(64))
 _STD = f"""raw AS (SELECT vec_id, label, {_FEATS} FROM embeddings),
-std AS (SELECT vec_id, label, {', '.join(f'(f{k} - AVG(f{k}) OVER ()) / STDDEV_POP(f{k}) OVER () AS f{k}' for k in range(8))} FROM raw)"""
+std AS (SELECT vec_id, label, {', '.join(f'(f{k} - AVG(f{k}) OVER ()) / STDDEV_POP(f{k}) OVER () AS f{k}' for k in range(64))} FROM raw)"""
 
 
 def vectors(t):
-    return t.embeddings.select("vec_id", "label", *[F.get("embedding", F.lit(k)).cast("double").alias(f"f{k}") for k in range(8)])
+    return t.embeddings.select("vec_id", "label", *[F.get("embedding", F.lit(k)).cast("double").alias(f"f{k}") for k in range(64)])
 
 
 def labelled(t):
@@ -59,7 +59,7 @@ def kfold_predict(t):
         vectors(t).select("vec_id", learn.fold_of(c("vec_id"), 10).alias("fold")), "vec_id")
 
 
-@query("standardize", "L4", f"WITH {_STD} SELECT vec_id, {', '.join(f'ROUND(f{k}, 6) + 0.0 AS f{k}' for k in range(8))} FROM std")
+@query("standardize", "L4", f"WITH {_STD} SELECT vec_id, {', '.join(f'ROUND(f{k}, 6) + 0.0 AS f{k}' for k in range(64))} FROM std")
 def standardize(t):
     return rounded(learn.standardize(vectors(t), COLS).drop("label"))
 
@@ -151,7 +151,7 @@ def accuracy(t):
 
 _KNN = f"""{_STD}, te AS (SELECT * FROM std WHERE vec_id % 10 < 3), tr AS (SELECT * FROM std WHERE vec_id % 10 >= 3),
 pr AS (SELECT te.vec_id AS query, te.label AS actual, tr.vec_id AS neighbour, tr.label AS label,
- {' + '.join(f'POW(te.f{k} - tr.f{k}, 2)' for k in range(8))} AS d2 FROM te, tr),
+ {' + '.join(f'POW(te.f{k} - tr.f{k}, 2)' for k in range(64))} AS d2 FROM te, tr),
 rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query ORDER BY d2, neighbour) AS rank FROM pr QUALIFY rank <= 39)"""
 
 
@@ -227,7 +227,7 @@ def pca(t):
 
 @query("mlp_classify", "L22")
 def mlp_classify(t):
-    return fit_and_predict(t, learn.network_classifier(8, 10), classes(t))
+    return fit_and_predict(t, learn.network_classifier(len(COLS), 10), classes(t))
 
 
 @query("softmax", "L23")

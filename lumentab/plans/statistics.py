@@ -403,7 +403,7 @@ def sample_rows(t):
     keys = t.orders.select("o_orderkey")
     return (sampling.sample_fraction(keys, 0.1, "o_orderkey", 7).withColumn("kind", F.lit("fraction"))
             .unionByName(sampling.sample_exact(keys, 50, "o_orderkey", 7).withColumn("kind", F.lit("exact")))
-            .unionByName(keys.sample(True, 0.05, 7).withColumn("kind", F.lit("replacement"))))
+            .unionByName(sampling.sample_replaced(keys, 0.05, "o_orderkey", 7).withColumn("kind", F.lit("replacement"))))
 
 
 @query("shuffle_rows", "O8", "SELECT o_orderkey, o_custkey FROM orders")
@@ -411,10 +411,17 @@ def shuffle_rows(t):
     return sampling.shuffle_rows(t.orders.select("o_orderkey", "o_custkey"), "o_orderkey")
 
 
-@query("random_columns", "O9")
+_HASHED = "CAST(('0x' || substr(md5('{}|' || c_custkey), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE"
+
+
+@query("random_columns", "O9", f"""
+SELECT c_custkey, ROUND({_HASHED.format(42)}, 9) AS uniform,
+ ROUND(SQRT(-2 * LN(1 - {_HASHED.format(42)})) * COS(2 * PI() * {_HASHED.format(1000045)}), 6) + 0.0 AS normal,
+ CAST(FLOOR({_HASHED.format(7)} * 100) AS BIGINT) AS whole FROM customer""")
 def random_columns(t):
-    return t.customer.select("c_custkey", F.rand(42).alias("uniform"), F.randn(42).alias("normal"),
-                             F.floor(F.rand(7) * 100).alias("whole"))
+    return t.customer.select("c_custkey", F.round(sampling.key_uniform("c_custkey", 42), 9).alias("uniform"),
+                             (F.round(sampling.key_normal("c_custkey", 42), 6) + 0.0).alias("normal"),
+                             F.floor(sampling.key_uniform("c_custkey", 7) * 100).alias("whole"))
 
 
 @query("ranges", "O10", """

@@ -64,10 +64,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Redistribute an input that is read by fewer tasks than there are cores.
+    """Redistribute an input that a single task would read.
 
     For work that is heavy per row, such as parsing text from one unsplittable
-    file.  A table of many files is returned as it is.
+    file.  Anything read by two tasks or more is returned as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df

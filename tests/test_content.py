@@ -1,9 +1,12 @@
+import math
+
 from pyspark.sql import functions as F
 
 from lumentab.functions import arrays as A
 from lumentab.functions import dates as D
 from lumentab.functions import numbers as N
 from lumentab.functions import strings as S
+from lumentab.operators import distribution
 from lumentab.operators import text as tx
 from lumentab.operators import userfuncs as uf
 from lumentab.operators import web
@@ -86,3 +89,35 @@ def test_array_rules(spark):
     assert one(spark, A.pop_last(a)[1], "x array<int>", ([],)) is None
     assert one(spark, A.index_of(a, F.lit(3)), "x array<int>", ([1, 3],)) == 1
     assert len(one(spark, A.zip_shortest(a, F.array(F.lit(1))), "x array<int>", ([5, 6],))) == 1
+
+
+def test_left_out_end_tags(spark):
+    page = ('<ul><li class="a">one<li class="a">two<ul><li class="b">in</ul><li class="a">three</ul>'
+            '<p class="p">first<p class="p">second<div class="d">block</div>')
+    df = spark.createDataFrame([(1, page)], "id long, html string")
+    assert [r["text"] for r in web.select_by_class(df, "id", "html").orderBy("n").collect()] == [
+        "one", "twoin", "in", "three", "first", "second", "block"]
+
+
+def test_attributes_in_every_spelling(spark):
+    df = spark.createDataFrame([(1, """<a href='x y' title=bare src="q?a=1&b=2">"""), (2, None)], "id long, html string")
+    got = {(r["attribute"], r["value"]) for r in web.attribute_values(df, "id", "html").collect()}
+    assert got == {("href", "x y"), ("title", "bare"), ("src", "q?a=1&b=2")}
+
+
+def test_naive_bayes_scores_documents_without_known_terms(spark):
+    train = spark.createDataFrame([(1, 0, "aa bb"), (2, 1, "cc"), (3, 1, "")], "doc long, label int, text string")
+    test = spark.createDataFrame([(4, "zz"), (5, ""), (6, "aa")], "doc long, text string")
+    out = tx.naive_bayes(tx.bag_of_words(train, "doc", tx.tokens(F.col("text"))), tx.bag_of_words(test, "doc", tx.tokens(F.col("text"))),
+                         "doc", "label", [0, 1], train_docs=train, target_docs=test)
+    got = {r["doc"]: (r["score_0"], r["score_1"], r["prediction"]) for r in out.collect()}
+    assert set(got) == {4, 5, 6}
+    # three terms; one of two words of class 0 is aa, none of the one word of class 1
+    assert abs(got[6][0] - math.log(2 / 5 * 1 / 3)) < 1e-12 and abs(got[6][1] - math.log(1 / 4 * 2 / 3)) < 1e-12 and got[6][2] == 1
+    assert abs(got[4][0] - math.log(1 / 3)) < 1e-12 and abs(got[5][1] - math.log(2 / 3)) < 1e-12
+
+
+def test_histogram_leaves_nan_out(spark):
+    df = spark.createDataFrame([(0.0,), (1.0,), (2.0,), (float("nan"),), (None,)], "v double")
+    got = distribution.histogram(df, "v", 2).orderBy("bin").collect()
+    assert [(r["left_edge"], r["right_edge"], r["n"]) for r in got] == [(0.0, 1.0, 1), (1.0, 2.0, 2)]
