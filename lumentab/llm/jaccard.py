@@ -244,10 +244,10 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     """
     judged = written(near_duplicates(docs, doc_id=doc_id, text=text, **options), "classes")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
-    best = judged.where("class_id is not null").groupBy("class_id").agg(F.min(rank).alias("r"))
-    met = judged.join(best, "class_id", "left")
-    gone = met.where(F.col("r").isNotNull() & ((F.col("row_key") != F.col("r.row_key")) | ~F.col("doc_id").eqNullSafe(F.col("r.doc_id"))))
-    gone = gone.select(F.col("row_key").alias("__key")).distinct()
+    known = judged.where("class_id is not null")
+    best = known.groupBy("class_id").agg(F.min(rank).alias("r")).select(F.col("r.row_key").alias("__key"))
+    # told by row, not by class: a class may hold a third of all rows
+    gone = known.select(F.col("row_key").alias("__key")).distinct().join(best, "__key", "left_anti")
     again = judged.groupBy("row_key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("row_key").alias("__key"))
     keyed = docs.withColumn("__key", row_key(doc_id, text)).join(gone, "__key", "left_anti")
     single = keyed.join(again, "__key", "left_anti")
