@@ -103,11 +103,12 @@ def long_matrix(df: DataFrame, row: str, columns: Sequence[Column]) -> DataFrame
     return df.select(F.col(row).alias("i"), cells.alias("j", "v"))
 
 
-def submatrix(cells: DataFrame, rows: tuple[int, int], cols: tuple[int, int]) -> DataFrame:
-    """Half-open row and column ranges of a long matrix (i, j, v)."""
-    return cells.where(
-        (F.col("i") >= rows[0]) & (F.col("i") < rows[1]) & (F.col("j") >= cols[0]) & (F.col("j") < cols[1])
-    )
+def submatrix(cells: DataFrame, rows: tuple[int, int | None], cols: tuple[int, int | None]) -> DataFrame:
+    """Half-open row and column ranges of a long matrix (i, j, v); an end of None is the matrix's own."""
+    inside = (F.col("i") >= rows[0]) & (F.col("j") >= cols[0])
+    for name, end in (("i", rows[1]), ("j", cols[1])):
+        inside = inside if end is None else inside & (F.col(name) < end)
+    return cells.where(inside)
 
 
 def pick_rows(cells: DataFrame, wanted: Sequence[int]) -> DataFrame:

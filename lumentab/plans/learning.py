@@ -104,11 +104,15 @@ def median_diff(t):
     return rounded(learn.median_difference(guesses(t), "actual", "guess"), 4)
 
 
+#: the reference goes on to 35, Spark's trees stop at 30
+DEPTHS = range(1, 30, 2)
+
+
 @query("tree_depth_sweep", "L14")
 def tree_depth_sweep(t):
     data = learn.features(vectors(t).withColumn("label", c("f0") * 2 + c("f1")), COLS[2:] + ["f0"])
     train, test = learn.split_rows(data, "vec_id", 0.5)
-    return learn.depth_sweep(train, test, [1, 5, 9, 13])
+    return learn.depth_sweep(train, test, DEPTHS)
 
 
 # --- classification --------------------------------------------------------
@@ -187,9 +191,13 @@ def forest_classify(t):
     return fit_and_predict(t, learn.forest_classifier(50), classes(t))
 
 
+#: of the reference, whose trees grow without a limit; Spark's is 30
+FOLDS, TREES = 10, 50
+
+
 @query("forest_cv", "L16")
 def forest_cv(t):
-    scored = outcome(learn.out_of_fold(labelled(t), "vec_id", 5, learn.forest_classifier(20, depth=6).fit))
+    scored = outcome(learn.out_of_fold(labelled(t), "vec_id", FOLDS, learn.forest_classifier(TREES, depth=30).fit))
     return learn.confusion_matrix(scored, "label", "prediction", [0.0, 1.0]).toDF("actual", "predicted_0", "predicted_1")
 
 
@@ -200,10 +208,17 @@ def score_by_class(t):
     return learn.median_difference(scored, "label", "prediction", ["is_class0"])
 
 
+#: the reference's grid, and the folds of its GridSearchCV by default
+COSTS, GAMMAS, SVM_FOLDS = (0.1, 1.0, 10.0, 100.0, 1000.0), (1.0, 0.1, 0.01, 0.001, 0.0001), 5
+
+
 @query("svm_grid", "L18")
 def svm_grid(t):
     data = learn.standardize(vectors(t), COLS).withColumn("label", (c("label") >= 5).cast("double"))
-    return learn.svm_grid(data, COLS, "label", "vec_id", [0.1, 0.01], [0.1, 0.001], folds=3)
+    # C weighs the sum of the losses of the training rows, the penalty stands against their mean
+    n = data.count() * (SVM_FOLDS - 1) / SVM_FOLDS
+    out = learn.svm_grid(data, COLS, "label", "vec_id", GAMMAS, [1 / (x * n) for x in COSTS], folds=SVM_FOLDS)
+    return out.withColumn("cost", F.round(1 / (c("penalty") * n), 6))
 
 
 @query("kmeans", "L19")

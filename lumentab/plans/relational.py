@@ -254,6 +254,23 @@ def submatrix(t):
     return block.unionByName(rel.pick_rows(m, [6, 4, 2, 7]).withColumn("pos", c("pos").cast("int")))
 
 
+# the same three jobs over all elements of every vector, whatever its length; the twins above stay as they were given
+_ALL_CELLS = "(SELECT vec_id AS i, CAST(j - 1 AS INTEGER) AS j, CAST(embedding[j] AS DOUBLE) AS v FROM (SELECT *, UNNEST(range(1, LEN(embedding) + 1)) AS j FROM embeddings))"
+
+
+def all_cells(t):
+    return t.embeddings.select(c("vec_id").alias("i"), F.posexplode(F.transform("embedding", lambda x: x.cast("double"))).alias("j", "v"))
+
+
+@query("submatrix_all", "F17", f"""
+SELECT i, j, v, CAST(-1 AS INTEGER) AS pos FROM {_ALL_CELLS} WHERE i < 2 AND j >= 1
+UNION ALL SELECT i, j, v, CASE i WHEN 6 THEN 0 WHEN 4 THEN 1 WHEN 2 THEN 2 ELSE 3 END FROM {_ALL_CELLS} WHERE i IN (6, 4, 2, 7)""")
+def submatrix_all(t):
+    m = all_cells(t)
+    block = rel.submatrix(m, (0, 2), (1, None)).withColumn("pos", F.lit(-1))
+    return block.unionByName(rel.pick_rows(m, [6, 4, 2, 7]).withColumn("pos", c("pos").cast("int")))
+
+
 @query("cast", "F18", """
 SELECT o_orderkey, CAST(FLOOR(o_totalprice) AS INTEGER) AS whole,
  TRY_CAST(SUBSTR(o_orderpriority, 1, 1) AS INTEGER) AS rank, TRY_CAST(o_orderstatus AS DOUBLE) AS not_a_number FROM orders""")

@@ -8,7 +8,7 @@ from lumentab.operators import aggregate as agg
 from lumentab.operators import distribution as dist
 from lumentab.operators import ranking, sampling, series, windows
 from lumentab.plans.registry import query
-from lumentab.plans.relational import cells, sparse, _CELLS, _SPARSE
+from lumentab.plans.relational import all_cells, cells, sparse, _ALL_CELLS, _CELLS, _SPARSE
 
 c = F.col
 
@@ -179,20 +179,38 @@ SELECT i, j, ROUND(AVG(v), 6) AS v FROM (
  SELECT vec_id // 3 AS i, CAST(j AS INTEGER) AS j, CAST(embedding[j + 1] AS DOUBLE) AS v
  FROM embeddings, range(0, 8) r(j)) GROUP BY i, j""")
 def stack_mean(t):
-    m = cells(t)
+    return stacked(cells(t))
+
+
+def stacked(m):
     frames = [m.where(c("i") % 3 == k).withColumn("i", F.floor(c("i") / 3)) for k in range(3)]
     return rounded(agg.stack_mean(frames))
 
 
+@query("stack_mean_all", "A19", f"SELECT i // 3 AS i, j, ROUND(AVG(v), 6) AS v FROM {_ALL_CELLS} GROUP BY 1, 2")
+def stack_mean_all(t):
+    return stacked(all_cells(t))
+
+
 @query("matrix_sums", "A20", f"""
 SELECT j, ROUND(SUM(v), 5) AS total, ROUND(STDDEV_POP(v), 6) AS std FROM {_CELLS} GROUP BY j
 UNION ALL SELECT -1, ROUND(SUM(v), 5), ROUND(STDDEV_POP(v), 6) FROM {_CELLS}""")
 def matrix_sums(t):
-    m = cells(t)
+    return sums_by_column(cells(t))
+
+
+def sums_by_column(m):
     outs = [r(F.sum("v"), 5).alias("total"), r(F.stddev_pop("v")).alias("std")]
     return m.groupBy("j").agg(*outs).unionByName(m.agg(F.lit(-1).alias("j"), *outs))
 
 
+@query("matrix_sums_all", "A20", f"""
+SELECT j, ROUND(SUM(v), 5) AS total, ROUND(STDDEV_POP(v), 6) AS std FROM {_ALL_CELLS} GROUP BY j
+UNION ALL SELECT -1, ROUND(SUM(v), 5), ROUND(STDDEV_POP(v), 6) FROM {_ALL_CELLS}""")
+def matrix_sums_all(t):
+    return sums_by_column(all_cells(t))
+
+
 @query("weighted_mean", "A21", """
 SELECT l_returnflag, ROUND(SUM(l_extendedprice * l_quantity) / SUM(l_quantity), 4) AS wmean FROM lineitem GROUP BY 1""")
 def weighted_mean(t):
@@ -448,12 +466,20 @@ f AS (SELECT k / 365.0::DOUBLE AS frequency FROM range(1, 13) r(k))
 SELECT series, ROUND(frequency, 9) AS frequency, ROUND(SQRT(SUM(y * COS(2 * PI() * frequency * d))**2 + SUM(y * SIN(2 * PI() * frequency * d))**2), 1) AS amplitude
 FROM m, f GROUP BY series, frequency""")
 def periodogram(t):
-    d = F.datediff("day", F.lit("1995-01-01").cast("date")).cast("double")
-    daily = panel(t).select("series", d.alias("d"), (c("close") + series.sinusoids(d, [(50000.0, 4 / 365, 0.0)])).alias("y"))
-    out = series.periodogram(daily, "series", "d", "y", _FREQ)
+    out = series.periodogram(signal(t), "series", "d", "y", _FREQ)
     return rounded(out, 1, frequency=9)
 
 
+def signal(t):
+    d = F.datediff("day", F.lit("1995-01-01").cast("date")).cast("double")
+    return panel(t).select("series", d.alias("d"), (c("close") + series.sinusoids(d, [(50000.0, 4 / 365, 0.0)])).alias("y"))
+
+
+@query("periodogram_full", "T1, T2")
+def periodogram_full(t):
+    return rounded(series.spectrum(signal(t), "series", "d", "y", 1.0), 1, frequency=9)
+
+
 @query("series_max", "T3", "SELECT o_orderstatus AS series, MAX(o_totalprice) AS high FROM orders GROUP BY 1")
 def series_max(t):
     return t.orders.groupBy(c("o_orderstatus").alias("series")).agg(F.max("o_totalprice").alias("high"))
