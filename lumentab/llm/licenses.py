@@ -22,22 +22,22 @@ BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2
 #: label, keyword, name of the license as a pattern over words, short name, words of its address
 FAMILIES = (
     ("mit", "mit", "mit(?: expat| x11)? licen[sc]e", "mit", "opensource org licenses mit"),
-    ("apache-2", "apache", "apache(?: software)? licen[sc]e(?: version)? 2(?: 0)?", "apache 2(?: 0)?", "apache org licenses license 2 0"),
-    ("apache-1", "apache", "apache(?: software)? licen[sc]e(?: version)? 1(?: [01])?", "apache 1(?: [01])?", "apache org licenses license 1 1"),
-    ("gpl-2", "gnu|gpl", "gnu general public licen[sc]e(?: version)? v?2(?: 0)?", "gpl v?2(?: 0)?", "gnu org licenses(?: old licenses)? gpl 2 0"),
-    ("gpl-3", "gnu|gpl", "gnu general public licen[sc]e(?: version)? v?3(?: 0)?", "gpl v?3(?: 0)?", "gnu org licenses gpl 3 0"),
-    ("lgpl-2", "gnu|lgpl", "gnu (?:lesser|library) general public licen[sc]e(?: version)? v?2(?: [01])?", "lgpl v?2(?: [01])?", "gnu org licenses(?: old licenses)? lgpl 2 [01]"),
-    ("lgpl-3", "gnu|lgpl", "gnu lesser general public licen[sc]e(?: version)? v?3(?: 0)?", "lgpl v?3(?: 0)?", "gnu org licenses lgpl 3 0"),
-    ("agpl-3", "affero|agpl", "gnu affero general public licen[sc]e(?: version)? v?3(?: 0)?", "agpl v?3(?: 0)?", "gnu org licenses agpl 3 0"),
+    ("apache-2", "apache|apache2|apachev2", "apache(?: software)? licen[sc]e(?: version| v)? v?2(?: 0)?", "apache(?: version| v)? ?v?2(?: 0)?", "apache org licenses license 2 0"),
+    ("apache-1", "apache|apache1|apachev1", "apache(?: software)? licen[sc]e(?: version| v)? v?1(?: [01])?", "apache(?: version| v)? ?v?1(?: [01])?", "apache org licenses license 1 1"),
+    ("gpl-2", "gnu|gpl|gpl2|gplv2", "gnu general public licen[sc]e(?: version| v)? v?2(?: 0)?", "(?:gnu )?gpl(?: version| v)? ?v?2(?: 0)?", "gnu org licenses(?: old licenses)? gpl 2 0"),
+    ("gpl-3", "gnu|gpl|gpl3|gplv3", "gnu general public licen[sc]e(?: version| v)? v?3(?: 0)?", "(?:gnu )?gpl(?: version| v)? ?v?3(?: 0)?", "gnu org licenses gpl 3 0"),
+    ("lgpl-2", "gnu|lgpl|lgpl2|lgplv2", "gnu (?:lesser|library) general public licen[sc]e(?: version| v)? v?2(?: [01])?", "(?:gnu )?lgpl(?: version| v)? ?v?2(?: [01])?", "gnu org licenses(?: old licenses)? lgpl 2 [01]"),
+    ("lgpl-3", "gnu|lgpl|lgpl3|lgplv3", "gnu lesser general public licen[sc]e(?: version| v)? v?3(?: 0)?", "(?:gnu )?lgpl(?: version| v)? ?v?3(?: 0)?", "gnu org licenses lgpl 3 0"),
+    ("agpl-3", "affero|agpl|agpl3|agplv3", "gnu affero general public licen[sc]e(?: version| v)? v?3(?: 0)?", "(?:gnu )?agpl(?: version| v)? ?v?3(?: 0)?", "gnu org licenses agpl 3 0"),
     ("gfdl", "gnu|gfdl", "gnu free documentation licen[sc]e(?: version 1 [123])?", "gfdl(?: 1 [123])?", "gnu org licenses fdl(?: 1 [123])?"),
-    ("bsd-2", "bsd", "(?:simplified bsd|bsd 2 clause|2 clause bsd|freebsd) licen[sc]e", "bsd 2 clause", "opensource org licenses bsd 2 clause"),
-    ("bsd-3", "bsd", "(?:new bsd|modified bsd|bsd 3 clause|3 clause bsd|revised bsd) licen[sc]e", "bsd 3 clause", "opensource org licenses bsd 3 clause"),
-    ("bsd-4", "bsd", "(?:original bsd|bsd 4 clause|4 clause bsd) licen[sc]e", "bsd 4 clause", "spdx org licenses bsd 4 clause"),
+    ("bsd-2", "bsd|freebsd", "(?:simplified bsd|bsd 2 clause|2 clause bsd|freebsd) licen[sc]e", "(?:bsd 2 clause|2 clause bsd)", "opensource org licenses bsd 2 clause"),
+    ("bsd-3", "bsd", "(?:new bsd|modified bsd|bsd 3 clause|3 clause bsd|revised bsd) licen[sc]e", "(?:bsd 3 clause|3 clause bsd)", "opensource org licenses bsd 3 clause"),
+    ("bsd-4", "bsd", "(?:original bsd|bsd 4 clause|4 clause bsd) licen[sc]e", "(?:bsd 4 clause|4 clause bsd)", "spdx org licenses bsd 4 clause"),
     ("isc", "isc", "isc licen[sc]e", "isc", "opensource org licenses isc"),
-    ("mpl-1", "mozilla|mpl", "mozilla public licen[sc]e(?: version)? 1(?: [01])?", "mpl 1(?: [01])?", "mozilla org mpl 1 [01]"),
-    ("mpl-2", "mozilla|mpl", "mozilla public licen[sc]e(?: version)? 2(?: 0)?", "mpl 2(?: 0)?", "mozilla org(?: en us)? mpl 2 0"),
-    ("epl-1", "eclipse|epl", "eclipse public licen[sc]e(?: version)? v?1(?: 0)?", "epl 1(?: 0)?", "eclipse org legal epl v10"),
-    ("epl-2", "eclipse|epl", "eclipse public licen[sc]e(?: version)? v?2(?: 0)?", "epl 2(?: 0)?", "eclipse org legal epl 2 0"),
+    ("mpl-1", "mozilla|mpl|mpl1|mplv1", "mozilla public licen[sc]e(?: version| v)? v?1(?: [01])?", "mpl(?: version| v)? ?v?1(?: [01])?", "mozilla org mpl 1 [01]"),
+    ("mpl-2", "mozilla|mpl|mpl2|mplv2", "mozilla public licen[sc]e(?: version| v)? v?2(?: 0)?", "mpl(?: version| v)? ?v?2(?: 0)?", "mozilla org(?: en us)? mpl 2 0"),
+    ("epl-1", "eclipse|epl|epl1|eplv1", "eclipse public licen[sc]e(?: version| v)? v?1(?: 0)?", "epl(?: version| v)? ?v?1(?: 0)?", "eclipse org legal epl v10"),
+    ("epl-2", "eclipse|epl|epl2|eplv2", "eclipse public licen[sc]e(?: version| v)? v?2(?: 0)?", "epl(?: version| v)? ?v?2(?: 0)?", "eclipse org legal epl 2 0"),
     ("cddl", "cddl|distribution", "common development and distribution licen[sc]e", "cddl(?: 1 [01])?", "opensource org licenses cddl"),
     ("boost", "boost|bsl", "boost software licen[sc]e", "bsl 1(?: 0)?", "boost org license 1 0"),
     ("zlib", "zlib", "zlib(?: libpng)? licen[sc]e", "zlib", "opensource org licenses zlib"),
@@ -54,7 +54,7 @@ FAMILIES = (
     ("cc0", "cc0|zero", "creative commons zero", "cc0(?: 1 0)?", "creativecommons org publicdomain zero"),
     ("cc-by", "cc|attribution|creativecommons", "(?:creative commons|cc) attribution(?: [234] [05])?(?: international)? licen[sc]e", "cc by(?= [1-4] )", "creativecommons org licenses by(?= [1-4] )"),
     ("cc-by-sa", "cc|sharealike|share|creativecommons", "creative commons attribution share ?alike", "cc by sa", "creativecommons org licenses by sa"),
-    ("cc-by-nd", "cc|noderivs|derivatives|creativecommons", "creative commons attribution no ?deriv(?:s|atives)", "cc by nd", "creativecommons org licenses by nd"),
+    ("cc-by-nd", "cc|noderivs|noderivatives|derivs|derivatives|creativecommons", "creative commons attribution no ?deriv(?:s|atives)", "cc by nd", "creativecommons org licenses by nd"),
     ("cc-by-nc", "cc|noncommercial|commercial|creativecommons", "creative commons attribution non ?commercial", "cc by nc", "creativecommons org licenses by nc(?= [1-4] )"),
     ("cc-by-nc-sa", "cc|noncommercial|commercial|creativecommons", "creative commons attribution non ?commercial share ?alike", "cc by nc sa", "creativecommons org licenses by nc sa"),
     ("cc-by-nc-nd", "cc|noncommercial|commercial|creativecommons", "creative commons attribution non ?commercial no ?deriv(?:s|atives)", "cc by nc nd", "creativecommons org licenses by nc nd"),
@@ -71,6 +71,34 @@ TEMPLATES = (
     (3, 0.5, "{short} licen[sc]ed?"),
 )
 
+#: label, keyword, stem, pattern, priority, confidence of sentences by which a text carries a license without naming it,
+#: and of names that need no other word
+TEXTS = tuple((*x, 6, 0.9) for x in (
+    ("mit", "hereby", "hereby granted", "permission is hereby granted free of charge(?: to any person obtaining a copy(?: of this software)?)?"),
+    ("boost", "hereby", "hereby granted", "permission is hereby granted free of charge to any person or organization obtaining a copy"),
+    ("isc", "hereby", "hereby granted", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("postgresql", "hereby", "hereby granted", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("bsd", "redistribution", " binary form", "redistribution and use in source and binary forms(?: with or without modification(?: are permitted)?)?"),
+    ("bsd-3", "endorse", "endorse or promote", "may be used to endorse or promote products derived from this software"),
+    ("bsd-4", "advertising", "advertising materials", "advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("zlib", "liable", "held liable", "in no event will the authors? be held liable for any damages arising from the use of this software"),
+    ("unlicense", "unencumbered", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "verbatim", "verbatim", "copy and distribute verbatim or modified copies of this license document"),
+    ("apache-2", "compliance", "licen", "you may not use this (?:file|work|software) except in compliance with the licen[sc]e"),
+    ("apache-2", "reproduction", "licen", "licen[sc]e shall mean the terms and conditions for use reproduction and distribution"),
+    ("gpl-2", "gnu", "licen", "gnu general public licen[sc]e as published by the free software foundation (?:either )?version 2(?: 0)?"),
+    ("gpl-3", "gnu", "licen", "gnu general public licen[sc]e as published by the free software foundation (?:either )?version 3(?: 0)?"),
+    ("lgpl-2", "gnu", "licen", "gnu (?:lesser|library) general public licen[sc]e as published by the free software foundation (?:either )?version 2(?: [01])?"),
+    ("lgpl-3", "gnu", "licen", "gnu lesser general public licen[sc]e as published by the free software foundation (?:either )?version 3(?: 0)?"),
+    ("agpl-3", "affero", "licen", "gnu affero general public licen[sc]e as published by the free software foundation (?:either )?version 3(?: 0)?"),
+    ("mpl-2", "mozilla", "licen", "subject to the terms of the mozilla public licen[sc]e(?: version| v)? v?2(?: 0)?"),
+    ("epl", "eclipse", "licen", "the accompanying program is provided under the terms of this eclipse public licen[sc]e"),
+    ("openssl", "openssl", "openssl toolkit", "developed by the openssl project for use in the openssl toolkit"),
+    ("cc0", "deed", "public domain", "associated a work with this deed has dedicated the work to the public domain"),
+)) + tuple((label, word, word, f"{word}(?: [01])?", 3, 0.5) for label, word in (
+    ("gpl-2", "gplv2"), ("gpl-3", "gplv3"), ("lgpl-2", "lgplv2"), ("lgpl-3", "lgplv3"), ("agpl-3", "agplv3"), ("mpl-1", "mplv1"), ("mpl-2", "mplv2"),
+    ("epl-1", "eplv1"), ("epl-2", "eplv2"), ("apache-2", "apachev2")))
+
 #: label, keyword, pattern, priority, confidence of what names no certain license
 GENERAL = (
     ("proprietary", "reserved", "all rights reserved", 2, 0.4),
@@ -79,12 +107,14 @@ GENERAL = (
     ("lgpl", "gnu|lgpl", "gnu lesser general public licen[sc]e", 2, 0.4),
     ("bsd", "bsd", "bsd licen[sc]e", 2, 0.4),
     ("creative-commons", "commons", "creative commons licen[sc]e", 2, 0.4),
-    ("unknown", "license|licence|licensed", "licen[sc]ed under", 1, 0.2),
+    ("unknown", "license|licence|licensed|licenced", "licen[sc]ed under", 1, 0.2),
 )
 
 
 #: one of these stands in every text that any rule fits; single literals, which Java searches by skipping
-ANY = ("licen", "cc by", "reserved", "public domain", "creative", " under ", " org ", "wtfpl", "europa eu")
+ANY = ("licen", "cc by", "reserved", "public domain", "creative", " under ", " org ", "wtfpl", "europa eu",
+       "hereby granted", " binary form", "endorse or promote", "advertising materials", "held liable", "unencumbered", "verbatim",
+       "openssl toolkit", "plv", "apachev")
 
 
 def rules() -> list[tuple[str, str, str, str, int, float, bool]]:
@@ -99,6 +129,7 @@ def rules() -> list[tuple[str, str, str, str, int, float, bool]]:
         stems = (" under ", " identifier ", "licen", f" {address.split()[0]} ", "licen" if "licen" in name else " ", "licen")
         out += [(label, "|".join([keyword, *(["unlicense"] if label == "unlicense" else [])]), stem,
                  t.format(name=name, short=short, address=address), p, c, False) for (p, c, t), stem in zip(TEMPLATES, stems)]
+    out += [(label, keyword, stem, pattern, p, c, False) for label, keyword, stem, pattern, p, c in TEXTS]
     return out + [(label, k, "licen" if "licen" in pattern else f" {k} ", pattern, p, c, False) for label, k, pattern, p, c in GENERAL]
 
 

@@ -208,6 +208,61 @@ def test_licenses(docs):
     assert licenses.op8(docs([])).count() == 0
 
 
+def forms(pattern):
+    """All strings of a rule, a repeat at its two ends; what stands in a lookahead follows."""
+    from re import _parser
+
+    def many(seq):
+        out = [""]
+        for op, arg in seq:
+            op = str(op)
+            if op == "LITERAL":
+                more = [chr(arg)]
+            elif op == "IN":
+                more = [chr(a if str(kind) == "LITERAL" else a[0]) for kind, a in arg]
+            elif op == "MAX_REPEAT":
+                more = [""] * (arg[0] == 0) + many(arg[2])
+            elif op == "SUBPATTERN":
+                more = many(arg[3])
+            elif op == "BRANCH":
+                more = [x for b in arg[1] for x in many(b)]
+            else:
+                assert op == "ASSERT", op
+                more = many(arg[1])
+            out = [a + b for a in out for b in more]
+        return out
+
+    return many(_parser.parse(pattern))
+
+
+def test_every_form_of_every_license_rule_passes_its_gates():
+    for label, keywords, stem, pattern, *_ in licenses.rules():
+        for form in forms(pattern):
+            text = f" {' '.join(form.split())} "
+            assert any(f" {k} " in text for k in keywords.split("|")), (label, keywords, form)
+            assert stem in text and any(x in text for x in licenses.ANY), (label, stem, form)
+
+
+def test_license_spellings_and_license_texts(docs):
+    want = {
+        "Released under the FreeBSD License.": "bsd-2", "Licensed under GPLv3": "gpl-3", "licensed under the GPLv2 or later": "gpl-2", "GPLv3": "gpl-3",
+        "Released under LGPLv2.1": "lgpl-2", "distributed under the terms of the MPLv2": "mpl-2", "Apache License v2.0": "apache-2",
+        "License: Apache2": "apache-2", "licensed under the GNU GPL v3": "gpl-3", "Mozilla Public License, v. 2.0": "mpl-2", "AGPLv3 licensed": "agpl-3",
+        "creative commons attribution noderivatives": "cc-by-nd", "GPL version 2.0 licensed": "gpl-2", "Released under the 3-clause BSD.": "bsd-3",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software": "mit",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy": "boost",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd",
+        "nor the names of its contributors may be used to endorse or promote products derived from this software": "bsd-3",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+        "In no event will the authors be held liable for any damages arising from the use of this software.": "zlib",
+        "GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1": "lgpl-2",
+        "Permission was granted, free of charge; a GPL v7 and an apache 3": "",
+    }
+    got = {r["doc_id"]: r["labels"] for r in licenses.op8(docs(list(enumerate(want)))).collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values())
+
+
 def test_small_tables_against_sql(spark):
     import check
     from lumentab.llm.queries import ORACLES, QUERIES
