@@ -2,7 +2,7 @@
 
 Spans come from regular expressions over whole texts.  Every found value is
 hashed and counted over the corpus by distinct repositories and owners: values
-held by many owners are copied examples, values of few owners look live.  Only
+held by many owners or repositories are copied examples, the others look live.  Only
 DataFrame functions are used.
 """
 
@@ -81,12 +81,13 @@ def ownership(found: DataFrame, owner: str, repository: tuple[str, ...]) -> Data
 
 
 def scan_secrets(docs: DataFrame, max_owners: int = 2, doc_id: str = "doc_id", text: str = "text",
-                 owner: str = "source", repository: tuple[str, ...] = ("source", "lang")) -> DataFrame:
+                 owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), max_repositories: int = 3) -> DataFrame:
     """One row per row of ``docs``: ``row_key``, ``doc_id`` and ``spans``.
 
     A span is (start, kind, end, vstart, value, n_repositories, n_owners, live):
     places in code points, end exclusive, the value from ``vstart``.  A value is
-    live if at most ``max_owners`` owners hold it.  Spans of the base kinds stay
+    live if at most ``max_owners`` owners and at most ``max_repositories``
+    repositories hold it.  Spans of the base kinds stay
     whatever their frequency; those of the added kinds are kept only if live.
 
     A null text is empty and has no spans; a null owner or repository counts as
@@ -101,7 +102,8 @@ def scan_secrets(docs: DataFrame, max_owners: int = 2, doc_id: str = "doc_id", t
     flat = base.where(F.size("found") > 0).select("row_key", "doc_id", "by", F.explode("found").alias("s")).withColumn(
         "hash", F.sha2("s.value", 256))
     counts = ownership(flat.select("hash", *[F.col(f"by.{c}").alias(c) for c in names]), owner, repository)
-    judged = flat.join(counts, "hash").withColumn("live", F.col("n_owners") <= max_owners)
+    judged = flat.join(counts, "hash").withColumn(
+        "live", (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories))
     kept = judged.where(F.col("live") | (F.col("s.kind") < len(BASE)))
     mine = kept.groupBy("row_key", "doc_id").agg(F.array_sort(F.collect_set(F.struct(
         "s.start", "s.kind", "s.end", "s.vstart", "s.value", "n_repositories", "n_owners", "live"))).alias("spans"))

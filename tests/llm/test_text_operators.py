@@ -177,6 +177,18 @@ def test_secrets_base_and_ownership(docs):
     assert secret_scan.op6(docs([])).count() == 0
 
 
+def test_secret_spread_over_repositories_of_one_owner(docs):
+    spread, own = "AbCdEfGhIjKlMnOpQrStUv1234", "ZyXwVuTsRqPoNmLkJiHgFe9876"
+    rows = [(i, f"use {spread} here", "a") for i in range(4)] + [(10 + i, f"use {own} here", "a") for i in range(3)]
+    df = docs(rows).withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 10))
+    got = {r["doc_id"]: [(s["n_repositories"], s["n_owners"], s["live"]) for s in r["spans"]] for r in secret_scan.scan_secrets(df).collect()}
+    assert got == {**{i: [] for i in range(4)}, **{10 + i: [(3, 1, True)] for i in range(3)}}
+    text = {r["doc_id"]: r["text"] for r in secret_scan.remove_secrets(df).collect()}
+    assert text[0] == f"use {spread} here" and text[10] == "use [SECRET] here"
+    loose = secret_scan.scan_secrets(df, max_repositories=4).collect()
+    assert all(s["live"] for r in loose for s in r["spans"]) and all(r["spans"] for r in loose)
+
+
 def test_mixing(docs):
     rows = [(i, "x" * 9, "big" if i % 3 else f"s{i % 2}") for i in range(3000)] + [(None, None, None), (7, "", "s1"), (7, "", "s1")]
     made = mixing.mix_sources(docs(rows), {None: 0.0}, extra=True)
