@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lumentab.llm import decontaminate, jaccard, licenses, mixing, quality, secret_scan, substring, topk, toxicity, urls
+from lumentab.llm import align, decontaminate, jaccard, licenses, mixing, quality, secret_scan, simhash, spelling, substring, topk, toxicity, urls
 from lumentab.llm.common import read
 
 QUERIES = {
@@ -17,6 +17,9 @@ QUERIES = {
     "op8_licenses": lambda s, d: licenses.op8(read(s, d, "documents")),
     "op9_quality": lambda s, d: quality.op9(read(s, d, "documents"), read(s, d, "labels")),
     "op10_decontaminate": lambda s, d: decontaminate.op10(read(s, d, "documents"), read(s, d, "benchmark")),
+    "op11_spelling": lambda s, d: spelling.op11(read(s, d, "documents")),
+    "op12_simhash": lambda s, d: simhash.op12(read(s, d, "documents")),
+    "op13_align": lambda s, d: align.op13(read(s, d, "documents")),
     "pipeline": corpus_pipeline.run,
 }
 
@@ -25,6 +28,7 @@ ORACLES = {
     "op3_mix_sources": mixing.OP3_SQL,
     "op4_top_k": topk.OP4_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
+    "op11_spelling": spelling.OP11_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
