@@ -20,7 +20,7 @@ import json
 import math
 import re
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,8 @@ PIECES = re.compile(r" +[^ ]*(?:(?<=[^\S\x1c-\x1f]) +[^ ]*)*")
 _INNER_BLANK = re.compile(r"[\S\x1c-\x1f] ")
 #: raw records of a run buffer; pieces of text and their characters remembered by a task
 BUFFER, REMEMBERED, REMEMBERED_CHARS = 2_000_000, 400_000, 32 << 20
+#: characters of documents that are encoded together
+SLICE = 1 << 20
 #: compressed bytes of runs that one task merges
 CELL_BYTES = 32 << 20
 
@@ -94,61 +96,108 @@ class Tokenizers:
             found[-2:] = [found[-2] + found[-1]]
         return found
 
-    def align(self, piece: str) -> tuple[bool, int, int, list[tuple[list[int], list[int]]]]:
-        """(whole, A tokens, B tokens, groups); not whole if the tokens do not give the piece back."""
-        a, b = self.encode_a(piece), self.model.encode(piece[1:], num_threads=1)
-        raw, pa_, pb = piece.encode(), [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(pa_) != raw or b"".join(pb) != raw:
-            return False, 0, 0, []
-        if len(a) == 1 or len(b) == 1:
-            return True, len(a), len(b), [(a, b)]
-        ends_b = {e: i + 1 for i, e in enumerate(accumulate(map(len, pb)))}
-        groups, at, bt = [], 0, 0
-        for i, e in enumerate(accumulate(map(len, pa_))):
-            j = ends_b.get(e)
-            if j is not None:
-                groups.append((a[at : i + 1], b[bt:j]))
-                at, bt = i + 1, j
-        return True, len(a), len(b), groups
+    def encode(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of both sides of pieces that begin with a blank; B puts the blank there itself."""
+        encode = self.encode_a
+        return [encode(p) for p in pieces], self.model.encode([p[1:] for p in pieces], num_threads=1)
+
+    def whole(self, pieces: list[str], a: list[list[int]], b: list[list[int]]) -> np.ndarray:
+        """Pieces that the tokens of both sides give back byte by byte."""
+        raw = [p.encode() for p in pieces]
+        sides = [[b"".join([table[t] for t in ids]) for ids in side] for table, side in ((self.bytes_a, a), (self.bytes_b, b))]
+        return np.fromiter((x == y == z for x, y, z in zip(raw, *sides)), bool, len(raw))
+
+
+def _places(counts: np.ndarray) -> np.ndarray:
+    """0, 1, … within each of consecutive runs of the given lengths."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _linked(a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, width_b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, pair, times) of the linked pairs of groups of ``in_a`` and ``in_b`` consecutive tokens.
+
+    Pairs may repeat in small groups; in large ones equal ids are counted first.
+    """
+    at_a, at_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
+    large = in_a * in_b > 1024
+    small = np.flatnonzero(~large)
+    n_a, n_b = in_a[small], in_b[small]
+    i = np.repeat(at_a[small], n_a) + _places(n_a)
+    other, first = np.repeat(n_b, n_a), np.repeat(at_b[small], n_a)
+    group = [np.repeat(np.repeat(small, n_a), other)]
+    pair = [np.repeat(a[i], other) * width_b + b[np.repeat(first, other) + _places(other)]]
+    times = [np.ones(len(pair[0]), np.int64)]
+    for g in np.flatnonzero(large):
+        x, n = np.unique(a[at_a[g] : at_a[g] + in_a[g]], return_counts=True)
+        y, m = np.unique(b[at_b[g] : at_b[g] + in_b[g]], return_counts=True)
+        group.append(np.full(len(x) * len(y), g))
+        pair.append((x[:, None] * width_b + y[None, :]).ravel())
+        times.append((n[:, None] * m[None, :]).ravel())
+    return np.concatenate(group), np.concatenate(pair), np.concatenate(times)
 
 
 class _Known:
     """What a task remembers of the pieces it has met: counts, group strings and linked pairs."""
 
-    def __init__(self, tokens: Tokenizers, width_b: int):
-        self.tokens, self.width_b = tokens, width_b
+    def __init__(self, tokens: Tokenizers):
+        self.tokens, self.width_b = tokens, len(tokens.bytes_b)
         self.ids: dict[str, int] = {}
-        self.good, self.strings, self.sizes, self.pairs, self.times, self.chars = [], [], [], [], [], 0
-
-    def add(self, piece: str) -> int:
-        good, n_a, n_b, groups = self.tokens.align(piece)
-        links: dict[int, int] = {}
-        for a, b in groups:
-            counted_a, counted_b = _counts(a), _counts(b)
-            for x, n in counted_a.items():
-                for y, m in counted_b.items():
-                    key = x * self.width_b + y
-                    links[key] = links.get(key, 0) + n * m
-        self.good.append(good)
-        self.strings.append(";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups))
-        self.sizes.append((n_a, n_b, len(groups), sum(links.values())))
-        self.pairs.append(np.fromiter(links.keys(), np.int64, len(links)))
-        self.times.append(np.fromiter(links.values(), np.int64, len(links)))
-        self.chars += len(piece) + len(self.strings[-1]) + 16 * len(links)
-        self.ids[piece] = at = len(self.good) - 1
-        return at
+        self.strings: list[str] = []
+        self.chars = 0
+        self.length_a, self.length_b = (np.array([len(x) for x in t], np.int64) for t in (tokens.bytes_a, tokens.bytes_b))
+        # ids with the mark that follows: inside a side, after side A, after a group
+        self.marked = [f"{i}{m}" for n, last in ((len(tokens.bytes_a), "|"), (self.width_b, ";")) for i in range(n) for m in (",", last)]
+        # A tokens, B tokens, groups, links, not whole, first pair, pairs
+        self.sizes = np.zeros((0, 7), np.int64)
+        self.pairs, self.times = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, pieces: list[str]) -> None:
+        """Encode and align pieces not met before, all at once."""
+        ids_a, ids_b = self.tokens.encode(pieces)
+        good = self.tokens.whole(pieces, ids_a, ids_b)
+        sizes = np.zeros((len(pieces), 7), np.int64)
+        sizes[~good, 4] = 1
+        kept = np.flatnonzero(good)
+        strings = [""] * len(pieces)
+        if len(kept):
+            n_a, n_b = (np.array([len(side[i]) for i in kept], np.int64) for side in (ids_a, ids_b))
+            a, b = (np.fromiter(chain.from_iterable(side[i] for i in kept), np.int64, n) for side, n in ((ids_a, n_a.sum()), (ids_b, n_b.sum())))
+            # pieces are whole, so places in the joined bytes are the same on both sides
+            end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+            common = np.intersect1d(end_a, end_b)
+            group_a, group_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
+            in_a, in_b = np.bincount(group_a, minlength=len(common)), np.bincount(group_b, minlength=len(common))
+            piece = np.searchsorted(np.cumsum(n_a), np.cumsum(in_a))  # of each group
+            group, pair, times = _linked(a, b, in_a, in_b, self.width_b)
+            owner = piece[group]
+            order = np.argsort(owner, kind="stable")
+            pair, times, owner = pair[order], times[order], owner[order]
+            held = np.bincount(owner, minlength=len(kept))
+            links = np.concatenate([[0], np.cumsum(times)])
+            edge = np.cumsum(held)
+            sizes[kept] = np.stack([n_a, n_b, np.bincount(piece, minlength=len(kept)), links[edge] - links[edge - held], np.zeros_like(n_a),
+                                    len(self.pairs) + edge - held, held], axis=1)
+            self.pairs, self.times = np.concatenate([self.pairs, pair]), np.concatenate([self.times, times])
+            # the tokens of a group, A before B
+            mark_a = np.append(group_a[1:] != group_a[:-1], True)
+            mark_b = np.append(group_b[1:] != group_b[:-1], True)
+            place_a = np.arange(len(a)) + (np.cumsum(in_b) - in_b)[group_a]
+            place_b = np.arange(len(b)) + np.cumsum(in_a)[group_b]
+            text = np.empty(len(a) + len(b), np.int64)
+            text[place_a] = 2 * a + mark_a
+            text[place_b] = 2 * (len(self.length_a) + b) + mark_b
+            marked = [self.marked[i] for i in text.tolist()]
+            ends = np.cumsum(n_a + n_b).tolist()
+            for i, first, end in zip(kept.tolist(), [0, *ends], ends):
+                strings[i] = "".join(marked[first:end])
+        first = len(self.strings)
+        self.ids |= {p: first + i for i, p in enumerate(pieces)}
+        self.strings += strings
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.chars += sum(map(len, pieces)) + sum(map(len, strings))
 
     def full(self) -> bool:
-        return len(self.good) > REMEMBERED or self.chars > REMEMBERED_CHARS
-
-
-def _counts(ids: list[int]) -> dict[int, int]:
-    if len(ids) == 1:
-        return {ids[0]: 1}
-    out: dict[int, int] = {}
-    for i in ids:
-        out[i] = out.get(i, 0) + 1
-    return out
+        return len(self.strings) > REMEMBERED or self.chars > REMEMBERED_CHARS
 
 
 _STATS = {"doc_id": pa.int64(), "n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "n_links": pa.int64(),
@@ -207,61 +256,71 @@ def read_run(pairs: bytes, lengths: bytes, records: int, docs: bytes | None = No
     return out
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list, list]]:
+    """(ids, texts) of consecutive documents of about ``SLICE`` characters; a longer text is a slice of its own."""
+    ids, texts, held = [], [], 0
+    for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+        if texts and held + len(text or "") > SLICE:
+            yield ids, texts
+            ids, texts, held = [], [], 0
+        ids.append(doc_id)
+        texts.append(text)
+        held += len(text or "")
+    if texts:
+        yield ids, texts
+
+
 def _encode_batches(byte_bpe: str, pieces: str, radices: int, keep_groups: bool, buffer: int):
     def run(batches):
         from pyspark import TaskContext
 
         tokens = Tokenizers(byte_bpe, pieces)
-        width_b = len(tokens.bytes_b)
         row = TaskContext.get().partitionId() << 40
-        base, known, held = row, _Known(tokens, width_b), 0
+        base, known, held = row, _Known(tokens), 0
         doc_of, piece_of = [], []
 
         def flush():
-            if not doc_of:
+            if not held:
                 return
             d, p = np.concatenate(doc_of), np.concatenate(piece_of)
             # equal pieces of a document once
             both, n = np.unique((d << 32) | p, return_counts=True)
             d, p = both >> 32, both & 0xFFFFFFFF
-            used, p = np.unique(p, return_inverse=True)
-            size = np.array([len(known.pairs[i]) for i in used], np.int64)
-            keys, times = np.concatenate([known.pairs[i] for i in used]), np.concatenate([known.times[i] for i in used])
-            begin, size = (np.cumsum(size) - size)[p], size[p]
-            at = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
-            for r in sorted_runs(np.repeat(d, size), keys[at], times[at] * np.repeat(n, size), width_b, radices, max(1, int(d.max()).bit_length())):
+            begin, size = known.sizes[p, 5], known.sizes[p, 6]
+            at = np.repeat(begin, size) + _places(size)
+            for r in sorted_runs(np.repeat(d, size), known.pairs[at], known.times[at] * np.repeat(n, size), known.width_b, radices, max(1, int(d.max()).bit_length())):
                 yield _rows([base], runs={k: [v] for k, v in r.items()})
 
         for batch in batches:
-            stats: dict[str, list] = {k: [] for k in _STATS}
-            first = row
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for doc_ids, texts in _slices(batch):
                 if known.full():
                     yield from flush()
-                    base, known, held, doc_of, piece_of = row, _Known(tokens, width_b), 0, [], []
-                ids, good = [], bool(text)
-                for x in tokens.pieces(text) if text else ():
-                    i = known.ids.get(x)
-                    if i is None:
-                        i = known.add(x)
-                    if not known.good[i]:
-                        good = False
-                        break
-                    ids.append(i)
-                sums, groups = np.zeros(4, np.int64), ""
-                if good:
-                    sums = np.array([known.sizes[i] for i in ids], np.int64).sum(axis=0)
-                    groups = ";".join([known.strings[i] for i in ids])
-                    doc_of.append(np.full(len(ids), row - base, np.int64))
-                    piece_of.append(np.array(ids, np.int64))
-                    held += len(ids) + int(sums[3])
-                for k, v in zip(stats, (doc_id, *sums.tolist(), hashlib.sha256(groups.encode()).hexdigest() if good else "", groups if keep_groups else None)):
-                    stats[k].append(v)
-                row += 1
+                    base, known, held, doc_of, piece_of = row, _Known(tokens), 0, [], []
+                cut = [tokens.pieces(t) if t else [] for t in texts]
+                new = [p for p in dict.fromkeys(p for c in cut for p in c) if p not in known.ids]
+                if new:
+                    known.add(new)
+                count = np.array([len(c) for c in cut], np.int64)
+                ids = np.fromiter((known.ids[p] for c in cut for p in c), np.int64, count.sum())
+                total = np.concatenate([np.zeros((1, 7), np.int64), np.cumsum(known.sizes[ids], axis=0)])
+                sums = total[np.cumsum(count)] - total[np.cumsum(count) - count]
+                good = (count > 0) & (sums[:, 4] == 0)
+                sums[~good] = 0
+                groups, at = [], 0
+                for n, fine in zip(count.tolist(), good.tolist()):
+                    groups.append("".join([known.strings[i] for i in ids[at : at + n].tolist()])[:-1] if fine else "")
+                    at += n
+                yield _rows(range(row, row + len(texts)), stats={
+                    "doc_id": doc_ids, "n_a": sums[:, 0], "n_b": sums[:, 1], "n_groups": sums[:, 2], "n_links": sums[:, 3],
+                    "groups_sha256": [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups], "groups": groups if keep_groups else [None] * len(groups)})
+                chosen = np.repeat(good, count)
+                doc_of.append(np.repeat(np.arange(len(texts)) + row - base, count)[chosen])
+                piece_of.append(ids[chosen])
+                held += int(sums[:, 6].sum()) + len(ids)
+                row += len(texts)
                 if held > buffer:
                     yield from flush()
                     base, held, doc_of, piece_of = row, 0, [], []
-            yield _rows(range(first, row), stats=stats)
         yield from flush()
     return run
 
