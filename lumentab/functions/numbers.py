@@ -32,3 +32,12 @@ def line_length(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 def line_slope(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """NULL for a vertical line."""
     return F.try_divide(y2 - y1, x2 - x1)
+
+
+def pearson(a: Column, b: Column) -> Column:
+    """Correlation over rows that have both values; NULL where a side is constant or fewer than two rows are left.
+
+    ``corr`` divides by zero there, which is an error under ANSI rules.
+    """
+    mine, other = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.try_divide(F.covar_pop(a, b), F.stddev_pop(mine)), F.stddev_pop(other))

@@ -8,8 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumentab.functions.numbers import pearson
 from lumentab.operators.joins import checked_broadcast
-
 from lumentab.operators.ranking import exact_quantiles
 
 
@@ -86,9 +86,9 @@ def extreme_per_group(df: DataFrame, by: str, value: str, label: str, largest: b
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson r of every pair of columns, long form, from a single aggregation."""
+    """Pearson r of every pair of columns, long form, from a single aggregation; NULL beside a constant column."""
     pairs = [(a, a) for a in columns] + list(combinations(columns, 2))
-    row = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    row = df.agg(*[pearson(F.col(a), F.col(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     cells = []
     for i, (a, b) in enumerate(pairs):
         cells.append((a, b, f"r{i}"))

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from lumentab.functions.sky import KMS_PER_MASYR_KPC
-from lumentab.operators.windows import running_totals
+from lumentab.operators.windows import filled_steps, running_totals
+from lumentab.session import ensure_checkpoint_dir
 
 c = F.col
 
@@ -143,18 +144,22 @@ def shell_rotation(df: DataFrame, weight: str | None = "mass", tiny: float = 1e-
     return shells.withColumns(axis).drop("ux", "uy", "uz")
 
 
-def cumulative_shells(df: DataFrame, sums: dict[str, Column], step: float = 1.0) -> DataFrame:
+def cumulative_shells(df: DataFrame, sums: dict[str, Column], step: float = 1.0, filled: bool = True) -> DataFrame:
     """Totals of all rows with r <= R for R = step, 2 step, .. up to the largest r.
 
-    Rows are summed per shell first; only the shell table, one row per step, is
-    accumulated.  Radii that enclose no row are absent.
+    Rows are summed per shell first; only the shells that hold rows are
+    accumulated, in two levels (see ``windows.running_totals``).  Shells between
+    them repeat the totals of the last one that holds rows; without ``filled``
+    they are left out, so a far-off row costs one row and not the way to it.
+    Radii that enclose no row are absent.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     shell = F.greatest(F.ceil(c("r") / step), F.lit(1).cast("bigint"))
-    per_shell = df.groupBy(shell.alias("shell")).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
-    radii = per_shell.agg(F.max("shell").alias("m")).select(F.explode(F.sequence(F.lit(1).cast("bigint"), c("m"))).alias("shell"))
-    filled = radii.join(per_shell, "shell", "left").na.fill(0.0, list(sums)).na.fill(0, list(sums))
-    out = running_totals(filled, "shell", list(sums))
-    return out.select((c("shell") * step).alias("radius"), *[c(f"cum_{n}").alias(n) for n in sums]).where(c("n") > 0)
+    per_shell = df.groupBy(shell.alias("shell")).agg(*[F.coalesce(F.sum(e), F.lit(0)).alias(n) for n, e in sums.items()]).where("shell is not null").checkpoint()
+    out = running_totals(per_shell, "shell", list(sums), following="further")
+    out = out.select("shell", F.coalesce(c("further") - 1, c("shell")).alias("until"), *[c(f"cum_{n}").alias(n) for n in sums])
+    out = filled_steps(out, "shell", "until") if filled else out.drop("until")
+    return out.select((c("shell") * step).alias("radius"), *sums)
 
 
 def _axis_of(prefix: str) -> list[Column]:

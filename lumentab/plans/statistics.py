@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lumentab.functions.numbers import pearson
 from lumentab.operators import aggregate as agg
 from lumentab.operators import distribution as dist
 from lumentab.operators import ranking, sampling, series, windows
@@ -155,7 +156,7 @@ def idxmin_per_series(t):
 
 @query("corr_pair", "A16", "SELECT ROUND(CORR(l_quantity, l_extendedprice), 6) AS r FROM lineitem")
 def corr_pair(t):
-    return t.lineitem.agg(r(F.corr("l_quantity", "l_extendedprice")).alias("r"))
+    return t.lineitem.agg(r(pearson(F.col("l_quantity"), F.col("l_extendedprice"))).alias("r"))
 
 
 _CORR = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lumentab.operators import kinematics as kin
 
@@ -36,6 +37,32 @@ def test_cumulative_shells_equal_masks(spark, cluster):
         assert b["mean_tangential"] == pytest.approx(np.average(signed[k], weights=m[k]))
 
 
+def test_shells_far_apart_cost_their_rows_only(spark):
+    rows = [(float(r),) for r in (0.0, 0.5, 1.0, 1.5, 40.2, 1e9)]
+    df = spark.createDataFrame(rows, "r double")
+    one = {"n": F.lit(1), "s": F.col("r")}
+    got = kin.cumulative_shells(df, one, filled=False).orderBy("radius").collect()
+    assert [(x.radius, x.n) for x in got] == [(1.0, 3), (2.0, 4), (41.0, 5), (1e9, 6)]
+    near = kin.cumulative_shells(df.where("r < 1000"), one).orderBy("radius").collect()
+    assert [x.radius for x in near] == [float(i) for i in range(1, 42)]
+    assert [x.n for x in near] == [3] + [4] * 39 + [5]
+    assert kin.cumulative_shells(df.where("r < 0"), one).collect() == []
+    # the way to a far row is made in pieces
+    assert kin.cumulative_shells(df.where("r < 1000").union(spark.createDataFrame([(300_000.5,)], "r double")), one).count() == 300_001
+
+
+def test_running_totals_in_slots(spark):
+    from lumentab.operators.windows import running_totals
+
+    rng = np.random.default_rng(3)
+    at = np.unique(rng.integers(-10**6, 10**6, 3000))
+    v = rng.integers(0, 100, len(at))
+    df = spark.createDataFrame(pd.DataFrame({"at": at, "v": v})).repartition(7)
+    got = running_totals(df, "at", ["v"], following="next").orderBy("at").toPandas()
+    assert got["cum_v"].tolist() == np.cumsum(v).tolist()
+    assert got["next"].dropna().tolist() == at[1:].tolist()
+
+
 def test_prograde_motion_is_positive_on_request(spark):
     ring = pd.DataFrame([(np.cos(a), np.sin(a), 0.0, -np.sin(a), np.cos(a), 0.0, 1.0) for a in np.arange(0, 6, 0.5)],
                         columns=["x", "y", "z", "vx", "vy", "vz", "mass"])
