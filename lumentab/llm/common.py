@@ -25,6 +25,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, with underscores behind it until no column has that name in any case."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def row_key(doc_id: str | Column, text: str | Column) -> Column:
     """Names a row by its content; rows equal in both share it and get equal results."""
     return F.xxhash64(doc_id, text)

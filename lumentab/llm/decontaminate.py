@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumentab.llm.common import broadcast_checked, computed_once, folded_words, row_key, written
+from lumentab.llm.common import broadcast_checked, computed_once, folded_words, free_name, row_key, written
 
 #: a word in a text whose letters are not folded yet
 _RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -121,8 +121,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, remove: str = "documents",
     doc_id, text = options.get("doc_id", "doc_id"), options.get("text", "text")
     found = find_contamination(docs, items, **options).where(F.size("spans") > 0).select(
         "row_key", "doc_id", "spans").distinct().alias("s")
-    keyed = docs.withColumn("__key", row_key(doc_id, text)).alias("d")
-    same = (F.col("d.__key") == F.col("s.row_key")) & F.col(f"d.`{doc_id}`").eqNullSafe(F.col("s.doc_id"))
+    key = free_name(docs.columns, "__key")
+    keyed = docs.withColumn(key, row_key(doc_id, text)).alias("d")
+    same = (F.col(f"d.`{key}`") == F.col("s.row_key")) & F.col(f"d.`{doc_id}`").eqNullSafe(F.col("s.doc_id"))
     if remove == "documents":
         return keyed.join(found, same, "left_anti").select(*[F.col(f"d.`{c}`") for c in docs.columns])
     if remove != "spans":

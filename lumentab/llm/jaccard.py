@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumentab.llm.common import connected_components, row_key, written
+from lumentab.llm.common import connected_components, free_name, row_key, written
 from lumentab.llm.substring import U, _mix, _ranges, _texts, word_hashes
 
 _GRAM_BASE = U(0xC2B2AE3D27D4EB4F)
@@ -245,13 +245,14 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     judged = written(near_duplicates(docs, doc_id=doc_id, text=text, **options), "classes")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
     known = judged.where("class_id is not null")
-    best = known.groupBy("class_id").agg(F.min(rank).alias("r")).select(F.col("r.row_key").alias("__key"))
+    key = free_name(docs.columns, "__key")
+    best = known.groupBy("class_id").agg(F.min(rank).alias("r")).select(F.col("r.row_key").alias(key))
     # told by row, not by class: a class may hold a third of all rows
-    gone = known.select(F.col("row_key").alias("__key")).distinct().join(best, "__key", "left_anti")
-    again = judged.groupBy("row_key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("row_key").alias("__key"))
-    keyed = docs.withColumn("__key", row_key(doc_id, text)).join(gone, "__key", "left_anti")
-    single = keyed.join(again, "__key", "left_anti")
-    return single.unionByName(keyed.join(again, "__key", "left_semi").dropDuplicates(["__key"])).select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = known.select(F.col("row_key").alias(key)).distinct().join(best, key, "left_anti")
+    again = judged.groupBy("row_key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("row_key").alias(key))
+    keyed = docs.withColumn(key, row_key(doc_id, text)).join(gone, key, "left_anti")
+    single = keyed.join(again, key, "left_anti")
+    return single.unionByName(keyed.join(again, key, "left_semi").dropDuplicates([key])).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2(docs: DataFrame) -> DataFrame:

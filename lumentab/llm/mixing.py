@@ -8,12 +8,18 @@ partitioning or on retries.  Only DataFrame functions are used.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumentab.llm.common import broadcast_checked
+from lumentab.llm.common import broadcast_checked, free_name
+
+#: rates above which a draw sums around the mean instead of reading a table of steps
+LARGE_RATE = 1024.0
+#: copies of a document that are made at once
+PIECE = 65_536
 
 
 def hashed_unit(seed: int, *parts: Column) -> Column:
@@ -38,6 +44,27 @@ def poisson_steps(rate: Column) -> Column:
     return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), start, step)["out"]).otherwise(F.array(F.lit(1.0)))
 
 
+def poisson_around_mode(rate: Column, u: Column) -> Column:
+    """The value of a large Poisson distribution at ``u``, summed from 12 deviations below the mean on.
+
+    The first term comes from Stirling's series, each next one from the one
+    before; nothing is kept but the running sum, so a draw takes about 24
+    deviations of steps.  What lies further out is less than 2^-52.
+    """
+    first = F.floor(rate - 12 * F.sqrt(rate)).cast("double")
+    last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("bigint")
+    # with d = first - rate: log of rate^k e^-rate / k! without the difference of large numbers
+    d = first - rate
+    log = -first * F.log1p(d / rate) + d - F.log(2 * math.pi * first) / 2 - 1 / (12 * first) + 1 / (360 * first * first * first)
+    start = F.struct(F.exp(log).alias("term"), F.lit(0.0).alias("sum"), first.cast("bigint").alias("n"))
+
+    def step(acc, k):
+        total = acc["sum"] + acc["term"]
+        return F.struct((acc["term"] * rate / (k + 1)).alias("term"), total.alias("sum"), F.when(total <= u, k + 1).otherwise(acc["n"]).alias("n"))
+
+    return F.aggregate(F.sequence(first.cast("bigint"), last), start, step)["n"]
+
+
 def source_rates(docs: DataFrame, weights: Mapping[str | None, float] | None = None, default_weight: float = 1.0,
                  size: float = 1.0, source: str = "source", text: str = "text") -> DataFrame:
     """(source, mass, weight, rate): mean copies of each document of a source.
@@ -63,7 +90,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     """The copies, in a globally shuffled order, with the columns of ``docs``.
 
     With ``extra`` the columns ``__copy`` (from 0), ``__rate`` and ``__order`` (the
-    shuffle key) follow.  Copies are dealt to partitions by the shuffle key and
+    shuffle key) follow, with underscores behind where ``docs`` has such a column.  Copies are dealt to partitions by the shuffle key and
     ordered by it inside, so each partition is a random sample of the whole, and
     a source that holds most rows is spread like any other.
 
@@ -73,18 +100,23 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     table gives an empty one.  The table of rates has one row per source; it is
     broadcast after its bytes were checked, and joined by a shuffle beyond that.
     """
+    name = {x: free_name(docs.columns, f"__{x}") for x in ("source", "rate", "steps", "u", "n", "copy", "order", "from")}
+    at = {x: F.col(f"`{n}`") for x, n in name.items()}
+    few = F.col("rate") <= LARGE_RATE
     rates = source_rates(docs, weights, default_weight, size, source, text).select(
-        F.col("source").alias("__source"), F.col("rate").alias("__rate"), poisson_steps(F.col("rate")).alias("__steps"))
+        F.col("source").alias(name["source"]), F.col("rate").alias(name["rate"]), F.when(few, poisson_steps(F.least("rate", F.lit(LARGE_RATE)))).alias(name["steps"]))
     rates, _ = broadcast_checked(rates, "rates", 64 << 20)
-    drawn = docs.join(rates, F.col(source).eqNullSafe(F.col("__source"))).withColumn(
-        "__u", hashed_unit(seed, F.col(doc_id))).withColumn(
-        "__n", F.size(F.filter("__steps", lambda s: s <= F.col("__u"))))
-    copies = drawn.where("__n > 0").drop("__steps", "__u", "__source").withColumn(
-        "__copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    mixed = copies.withColumn("__order", F.xxhash64(F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.col("__copy")))
+    drawn = docs.join(rates, F.col(f"`{source}`").eqNullSafe(at["source"])).withColumn(name["u"], hashed_unit(seed, F.col(f"`{doc_id}`")))
+    drawn = drawn.withColumn(name["n"], F.when(at["steps"].isNotNull(), F.size(F.filter(at["steps"], lambda s: s <= at["u"])).cast("bigint")).otherwise(
+        poisson_around_mode(at["rate"], at["u"])))
+    # in two levels, so that no array is longer than a piece or their number
+    pieces = drawn.where(at["n"] > 0).drop(name["steps"], name["u"], name["source"]).withColumn(
+        name["from"], F.explode(F.sequence(F.lit(0).cast("bigint"), at["n"] - 1, F.lit(PIECE).cast("bigint"))))
+    copies = pieces.withColumn(name["copy"], F.explode(F.sequence(at["from"], F.least(at["from"] + PIECE, at["n"]) - 1)))
+    mixed = copies.withColumn(name["order"], F.xxhash64(F.lit(seed), F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("null")), at["copy"].cast("int")))
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    out = mixed.repartition(width, "__order").sortWithinPartitions("__order")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *(["__copy", "__rate", "__order"] if extra else []))
+    out = mixed.repartition(width, at["order"]).sortWithinPartitions(at["order"])
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *([at["copy"], at["rate"], at["order"]] if extra else []))
 
 
 def op3(docs: DataFrame) -> DataFrame:

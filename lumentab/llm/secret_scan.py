@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumentab.llm.common import row_key, written
+from lumentab.llm.common import free_name, row_key, written
 
 # fixed values: the patterns of the base kinds
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -148,8 +148,9 @@ def remove_secrets(docs: DataFrame, **options) -> DataFrame:
         gated = gate(body) if gated is None else gated | gate(body)
     spans = scan_secrets(docs.where(gated), **options)
     live = spans.where(F.exists("spans", lambda s: s["live"])).distinct()
-    keyed = docs.where(gated).withColumn("__key", row_key(doc_id, text)).alias("d")
-    met = keyed.join(live.alias("s"), (F.col("d.__key") == F.col("s.row_key")) & F.col(f"d.{doc_id}").eqNullSafe(
+    key = free_name(docs.columns, "__key")
+    keyed = docs.where(gated).withColumn(key, row_key(doc_id, text)).alias("d")
+    met = keyed.join(live.alias("s"), (F.col(f"d.`{key}`") == F.col("s.row_key")) & F.col(f"d.{doc_id}").eqNullSafe(
         F.col("s.doc_id")), "left")
     clean = F.when(F.col("s.spans").isNotNull(), redact(F.col(f"d.{text}"), F.col("s.spans"))).otherwise(F.col(f"d.{text}"))
     return docs.where(~gated).unionByName(met.select(*[
