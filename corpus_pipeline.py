@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumentab.llm import decontaminate, jaccard, mixing, secret_scan, toxicity
-from lumentab.llm.common import read, written
+from lumentab.llm.common import free_name, read, written
 from lumentab.llm.quality import fold
 
 
@@ -43,8 +43,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every source at the same weight; the number of each copy follows as ``copy``."""
-    return mixing.mix_sources(docs, extra=True).withColumnRenamed("__copy", "copy").drop("__rate", "__order")
+    """Every source at the same weight; the number of each copy follows as ``copy``, or ``copy_`` where there is such a column."""
+    mixed = mixing.mix_sources(docs, extra=True)
+    number = mixed.columns[len(docs.columns)]
+    return mixed.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"`{number}`").cast("int").alias(free_name(docs.columns, "copy")))
 
 
 STAGES = [("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("benchmark", drop_benchmark),
