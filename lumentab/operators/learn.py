@@ -171,6 +171,32 @@ def kmeans(df: DataFrame, columns: Sequence[str], k: int, seed: int = 1):
     return KMeans(k=k, seed=seed).fit(features(df, columns))
 
 
+def centres(model, df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(prediction, column_name, centre, n) of a k-means model: the mean of the rows of each cluster.
+
+    The means come from the rows, in one aggregation; of a model that has
+    converged they are the model's own centres.  A cluster without rows is absent.
+    """
+    marked = model.transform(features(df, columns))
+    means = marked.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"), *[F.avg(x).alias(x) for x in columns])
+    return means.unpivot(["prediction", "n"], list(columns), "column_name", "centre")
+
+
+def loadings(model, df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(component, column_name, loading, explained) of a fitted PCA.
+
+    The weight of largest size of a component is positive, so that signs do not
+    depend on the solver.  A model has columns x k numbers; they ride on one row of ``df``.
+    """
+    cells = []
+    weights, shares = model.pc.toArray(), model.explainedVariance.toArray()
+    for k in range(weights.shape[1]):
+        sign = 1.0 if weights[np.abs(weights[:, k]).argmax(), k] > 0 else -1.0
+        cells += [F.struct(F.lit(k).alias("component"), F.lit(x).alias("column_name"), F.lit(sign * float(w)).alias("loading"),
+                           F.lit(float(shares[k])).alias("explained")) for x, w in zip(columns, weights[:, k])]
+    return df.agg(F.count(F.lit(1)).alias("__n")).select(F.inline(F.array(*cells)))
+
+
 def blobs(df: DataFrame, key: str, centres: Sequence[tuple[float, float]], spread: float, seed: int = 101) -> DataFrame:
     """Two-dimensional Gaussian clusters, one point per row of ``df``."""
     which = F.pmod(F.xxhash64(F.lit(seed), c(key)), F.lit(len(centres))).cast("int")

@@ -18,6 +18,11 @@ IMPLIED = {"li": (frozenset(["li"]), frozenset(["ul", "ol"])), "p": (_BLOCKS, fr
            "td": (frozenset(["td", "th", "tr"]), frozenset(["table"])), "th": (frozenset(["td", "th", "tr"]), frozenset(["table"])),
            "tr": (frozenset(["tr"]), frozenset(["table"])), "option": (frozenset(["option"]), frozenset(["select"]))}
 
+#: for a start tag, the open elements that its end of others does not reach through
+WALLS = {tag: frozenset().union(*[through for closed, through in IMPLIED.values() if tag in closed])
+         for tag in frozenset().union(*[closed for closed, _ in IMPLIED.values()])}
+_NONE = ((), ())
+
 
 def title(html: Column) -> Column:
     """Text of the first title element, NULL without one; the usual character references are decoded."""
@@ -43,17 +48,22 @@ class _Elements(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open: list[dict] = []
         self.found: list[dict] = []
+        self.titles: list[tuple[str, list[dict]]] = []
 
     def handle_starttag(self, tag, attrs):
         attrs = {k: v or "" for k, v in attrs}
-        for depth in range(len(self.open) - 1, -1, -1):
-            closers, walls = IMPLIED.get(self.open[depth]["tag"], ((), ()))
-            if tag in closers:
+        walls = WALLS.get(tag)
+        # a tag that closes nothing leaves all open elements as they are
+        for depth in range(len(self.open) - 1, -1, -1) if walls is not None else ():
+            if tag in IMPLIED.get(self.open[depth]["tag"], _NONE)[0]:
                 del self.open[depth:]
-            elif any(tag in closed and self.open[depth]["tag"] in through for closed, through in IMPLIED.values()):
+            elif self.open[depth]["tag"] in walls:
                 break
         item = {"tag": tag, "class": attrs.get("class"), "text": [], "attrs": attrs}
+        if attrs.get("title"):
+            self.titles.append((attrs["title"], list(self.open)))
         if item["class"] is not None:
+            item["up"] = list(self.open)
             self.found.append(item)
         if tag not in VOID:
             self.open.append(item)
@@ -70,6 +80,31 @@ class _Elements(HTMLParser):
                 item["text"].append(data)
 
 
+def titles_of_items(df: DataFrame, page: str, html: str, item: str, marks: Sequence[str]) -> DataFrame:
+    """(page, title): titles inside elements of class ``item`` that hold an element with all classes of ``marks``.
+
+    A title is the attribute of that name of an element in the item.  An item in
+    an item gives its titles for each that is marked.  Null and empty pages have none.
+    """
+    wanted = frozenset(marks)
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, source in zip(batch["page"], batch["html"]):
+                parser = _Elements()
+                parser.feed(source or "")
+                parser.close()
+                marked = {id(u) for e in parser.found if wanted <= set(e["class"].split()) for u in e["up"]
+                          if item in (u["class"] or "").split()}
+                rows += [(key, text) for text, up in parser.titles for u in up if id(u) in marked]
+            yield pd.DataFrame(rows, columns=["page", "title"])
+
+    kind = df.schema[page].dataType.simpleString()
+    out = df.select(F.col(page).alias("page"), F.col(html).alias("html")).mapInPandas(parse, f"page {kind}, title string")
+    return out.withColumnRenamed("page", page)
+
+
 def select_by_class(df: DataFrame, page: str, html: str, classes: Sequence[str] | None = None) -> DataFrame:
     """One row per element with a class: (page, n, tag, class, text, attrs).
 

@@ -137,6 +137,16 @@ def html_select(t):
     return found.select("page_id", "n", "tag", "class", "text", F.try_element_at("attrs", F.lit("href")).alias("href"))
 
 
+@query("html_titles_by_class", "H5", "SELECT page_id, 'book-' || page_id AS title FROM pages WHERE page_id % 5 = 1")
+def html_titles_by_class(t):
+    # the given pages rate nothing: each gets one item in the layout that is scraped, rated Two or Three, at its end
+    rated = F.when(c("page_id") % 5 == 1, "Two").otherwise("Three")
+    item = F.concat(F.lit('<article class="product_pod"><p class="star-rating '), rated, F.lit('"></p><h3><a title="book-'),
+                    c("page_id").cast("string"), F.lit('">link</a></h3></article>'))
+    return web.titles_of_items(t.pages.select("page_id", F.concat(F.coalesce("html", F.lit("")), item).alias("html")),
+                               "page_id", "html", "product_pod", ["star-rating", "Two"])
+
+
 @query("html_links", "H3", r"""
 SELECT page_id, regexp_extract(h, '\s(\w+)=', 1) AS attribute, regexp_extract(h, '="([^"]*)"', 1) AS value
 FROM (SELECT page_id, UNNEST(regexp_extract_all(html, '\s(?:href|src|title)="[^"]*"')) AS h FROM pages)""")

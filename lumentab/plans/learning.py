@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from lumentab.operators import distribution as dist
 from lumentab.operators import learn, neighbours
 from lumentab.plans.registry import query
 from lumentab.plans.statistics import r, rounded
@@ -78,6 +79,19 @@ def linreg(t):
     return scored.select("l_orderkey", "l_linenumber", "prediction", (c("l_extendedprice") - c("prediction")).alias("residual"))
 
 
+@query("residual_histogram", "L7", """
+WITH f AS (SELECT REGR_SLOPE(l_extendedprice, l_quantity) AS a, REGR_INTERCEPT(l_extendedprice, l_quantity) AS b FROM lineitem),
+e AS (SELECT l_extendedprice - (a * l_quantity + b) AS v FROM lineitem, f),
+m AS (SELECT v, MIN(v) OVER () AS lo, MAX(v) OVER () AS hi FROM e)
+SELECT CAST(LEAST(FLOOR((v - lo) / (hi - lo) * 50), 49) AS INTEGER) AS bin, ROUND(MIN(lo + (hi - lo) / 50 * LEAST(FLOOR((v - lo) / (hi - lo) * 50), 49)), 2) + 0.0 AS left_edge,
+ COUNT(*) AS n FROM m GROUP BY bin""")
+def residual_histogram(t):
+    rows = t.lineitem.select("l_quantity", "l_extendedprice")
+    fit = rows.agg(F.struct(F.regr_slope("l_extendedprice", "l_quantity").alias("a"), F.regr_intercept("l_extendedprice", "l_quantity").alias("b"))).scalar()
+    errors = rows.withColumn("fit", fit).select((c("l_extendedprice") - (c("fit.a") * c("l_quantity") + c("fit.b"))).alias("residual"))
+    return rounded(dist.histogram(errors, "residual", 50), 2).select("bin", "left_edge", "n")
+
+
 @query("linreg_1d", "L5", """
 SELECT ROUND(REGR_SLOPE(l_extendedprice, l_quantity), 4) AS slope, ROUND(REGR_INTERCEPT(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem""")
 def linreg_1d(t):
@@ -228,6 +242,12 @@ def kmeans(t):
     return model.transform(learn.features(data, COLS)).groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("kmeans_centres", "L19")
+def kmeans_centres(t):
+    data = learn.standardize(vectors(t), COLS)
+    return learn.centres(learn.kmeans(data, COLS, 4), data, COLS)
+
+
 @query("blobs", "L20")
 def blobs(t):
     return learn.blobs(t.customer, "c_custkey", [(-9.0, 2.0), (3.0, -6.0), (6.0, 8.0), (-2.0, -9.0)], 1.0)
@@ -240,6 +260,12 @@ def pca(t):
     return model.transform(scaled).select("vec_id", "label", F.get(p, F.lit(0)).alias("pc1"), F.get(p, F.lit(1)).alias("pc2"))
 
 
+@query("pca_loadings", "L21")
+def pca_loadings(t):
+    model, scaled = learn.principal_components(vectors(t), COLS, 2)
+    return learn.loadings(model, scaled, COLS)
+
+
 @query("mlp_classify", "L22")
 def mlp_classify(t):
     return fit_and_predict(t, learn.network_classifier(len(COLS), 10), classes(t))

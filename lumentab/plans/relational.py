@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumentab.operators import integrity, joins, missing, relational as rel, setops
+from lumentab.operators import guarded, integrity, joins, missing, relational as rel, setops
 from lumentab.plans.registry import query
 from lumentab.session import scratch_path
 
@@ -116,6 +116,62 @@ def dml_set_cell(t):
     return integrity.set_cell(t.customer.select("c_custkey", "c_acctbal"), "c_custkey", 95, "c_acctbal", 100.0)
 
 
+_STARS = "SELECT c_custkey AS star_id, c_acctbal AS balance, c_mktsegment AS segment FROM customer"
+
+
+def stars(t):
+    return t.customer.select(c("c_custkey").alias("star_id"), c("c_acctbal").alias("balance"), c("c_mktsegment").alias("segment"))
+
+
+def guarded_stars(t):
+    """A table of stars whose key, balance and orders are guarded."""
+    rules = guarded.Constraints(
+        not_null=["star_id"], unique=[["star_id"]], checks={"balance": c("balance") > -100_000},
+        children={"orders": guarded.Child(t.orders, ["o_custkey"], ["star_id"])})
+    return guarded.GuardedTable(t.spark, scratch_path(t.spark, "guarded"), rules)
+
+
+def refused(write, *args):
+    """Broken constraints of a write that must fail, as one string."""
+    try:
+        write(*args)
+    except guarded.ConstraintError as e:
+        return str(e)
+    return "accepted"
+
+
+@query("guarded_insert", "D2, D3, D4, D6", f"""
+SELECT *, (SELECT 'check balance: ' || COUNT(*) || ', unique star_id: ' || COUNT(*) FROM customer) AS refused
+FROM ({_STARS} UNION ALL SELECT s_suppkey + 1000000000, s_acctbal, NULL FROM supplier)""")
+def guarded_insert(t):
+    table = guarded_stars(t).create(stars(t))
+    table.insert(t.supplier.select((c("s_suppkey") + 1_000_000_000).alias("star_id"), c("s_acctbal").alias("balance")))
+    why = refused(table.insert, stars(t).withColumn("balance", F.lit(-200_000.0)))
+    return table.read().withColumn("refused", F.lit(why))
+
+
+@query("guarded_update", "D2, D7", f"""
+SELECT star_id, balance, CASE WHEN balance < 0 THEN NULL ELSE segment END AS segment,
+ (SELECT 'not null star_id: ' || COUNT(*) FROM customer WHERE c_custkey % 3 = 0) AS refused FROM ({_STARS})""")
+def guarded_update(t):
+    table = guarded_stars(t).create(stars(t))
+    table.update(c("balance") < 0, {"segment": F.lit(None).cast("string")})
+    why = refused(table.insert, stars(t).where(c("star_id") % 3 == 0).withColumn("star_id", F.lit(None).cast("bigint")))
+    return table.read().withColumn("refused", F.lit(why))
+
+
+@query("guarded_delete", "D5, D8", f"""
+SELECT *, (SELECT 'child orders: ' || COUNT(*) FROM orders WHERE o_custkey IS NOT NULL) AS refused FROM ({_STARS})
+WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = star_id) OR star_id % 2 = 0""")
+def guarded_delete(t):
+    table = guarded_stars(t).create(stars(t))
+    used = t.orders.select(c("o_custkey").alias("used")).distinct()
+    kept = stars(t).join(used, c("star_id") == c("used"), "left").where(c("used").isNotNull() | (c("star_id") % 2 == 0)).drop("used")
+    table.replace(kept)
+    why = refused(table.delete, c("star_id").isNotNull())
+    return table.read().withColumn("refused", F.lit(why))
+
+
 # --- projection and filters ------------------------------------------------
 
 @query("project", "F1", "SELECT o_orderkey, o_totalprice FROM orders")

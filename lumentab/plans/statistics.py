@@ -476,7 +476,14 @@ def signal(t):
     return panel(t).select("series", d.alias("d"), (c("close") + series.sinusoids(d, [(50000.0, 4 / 365, 0.0)])).alias("y"))
 
 
-@query("periodogram_full", "T1, T2")
+@query("periodogram_full", "T1, T2", f"""
+WITH {_PANEL}, y AS (SELECT series, DATE_DIFF('day', DATE '1995-01-01', day) AS d,
+  close + 50000 * SIN(2 * PI() * 4 / 365.0::DOUBLE * DATE_DIFF('day', DATE '1995-01-01', day)) AS y FROM panel),
+m AS (SELECT series, d - MIN(d) OVER (PARTITION BY series) AS d, y - AVG(y) OVER (PARTITION BY series) AS y FROM y),
+n AS (SELECT series, MAX(d) + 1 AS n FROM m GROUP BY series), f AS (SELECT series, n, UNNEST(range(0, n // 2 + 1)) AS k FROM n),
+h AS (SELECT series, n, k, SQRT(SUM(y * COS(2 * PI() * ((k * d) % n) / n))**2 + SUM(y * SIN(2 * PI() * ((k * d) % n) / n))**2) AS a
+ FROM m JOIN f USING (series) GROUP BY ALL), s AS (SELECT UNNEST([-1, 1]) AS s)
+SELECT series, ROUND(s * k / n::DOUBLE, 9) + 0.0 AS frequency, ROUND(a, 1) AS amplitude FROM h JOIN s ON (k > 0 OR s = 1) AND (2 * k <> n OR s = -1)""")
 def periodogram_full(t):
     return rounded(series.spectrum(signal(t), "series", "d", "y", 1.0), 1, frequency=9)
 
@@ -507,6 +514,15 @@ def daily_counts(t):
     return d.join(fit, "event_type").select("event_type", c("day").cast("string").alias("day"), "n", "trend")
 
 
+@query("monthly_counts", "T5", """
+WITH m AS (SELECT CAST(month(o_orderdate) AS INTEGER) AS month, o_orderstatus AS reason, COUNT(*) AS n FROM orders GROUP BY 1, 2)
+SELECT reason, month, n, ROUND(REGR_SLOPE(n, month) OVER (PARTITION BY reason), 6) + 0.0 AS trend FROM m""")
+def monthly_counts(t):
+    m = t.orders.groupBy(F.month("o_orderdate").alias("month"), c("o_orderstatus").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    fit = agg.linear_fit(m, "month", "n", ["reason"]).select("reason", r(c("slope")).alias("trend"))
+    return m.join(fit, "reason").select("reason", "month", "n", "trend")
+
+
 @query("line_residual", "T6", """
 SELECT event_id, ROUND(value - (12.6 + 3.24 * LOG10(1 + user_id)), 6) AS residual FROM events""")
 def line_residual(t):

@@ -72,3 +72,26 @@ def test_svm_grid_finds_a_ring(spark):
     pdf = pd.DataFrame(p, columns=["x", "y"]).assign(vec_id=range(200), label=(np.hypot(p[:, 0], p[:, 1]) > 1.2).astype(float))
     got = learn.svm_grid(spark.createDataFrame(pdf), ["x", "y"], "label", "vec_id", [0.5], [0.001], folds=2)
     assert got.first().accuracy > 0.8
+
+
+def test_centres_and_loadings_against_numpy(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(m, 0.1, (40, 3)) for m in (-5, 0, 5)]) * [1, 2, 3]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double")
+    cols = ["a", "b", "c"]
+    got = learn.centres(learn.kmeans(df, cols, 3), df, cols).collect()
+    means = sorted(tuple(x[i * 40:(i + 1) * 40].mean(0)) for i in range(3))
+    mine = {}
+    for r in got:
+        mine.setdefault(r["prediction"], {})[r["column_name"]] = r["centre"]
+        assert r["n"] == 40
+    assert np.allclose(sorted(tuple(m[k] for k in cols) for m in mine.values()), means)
+
+    model, scaled = learn.principal_components(df, cols, 2)
+    z = (x - x.mean(0)) / x.std(0)
+    values, vectors = np.linalg.eigh(np.cov(z.T))
+    for r in learn.loadings(model, scaled, cols).collect():
+        v = vectors[:, -1 - r["component"]]
+        v = v if v[np.abs(v).argmax()] > 0 else -v
+        assert np.isclose(r["loading"], v[cols.index(r["column_name"])], atol=1e-6)
+        assert np.isclose(r["explained"], values[-1 - r["component"]] / values.sum())
