@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumentab.llm.common import NOT_WORD, computed_once, lower_ascii
@@ -142,34 +142,34 @@ def _table() -> Column:
                        "priority:int,confidence:double,base:boolean>>")
 
 
-def _places(folded: Column, pattern: Column) -> Column:
-    """(start, end) in words of every match; each begins with the blank before its first word."""
+def _pairs(folded: Column, pattern: Column) -> Column:
+    """Blanks of the gap before each match and of the match, in order; each match begins with the blank before its first word."""
     blanks = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
     pairs = F.arrays_zip(F.split(folded, pattern, -1).alias("gap"), F.regexp_extract_all(folded, pattern, F.lit(0)).alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    return F.transform(F.filter(pairs, lambda x: x["hit"].isNotNull()), lambda x: F.struct(
+        blanks(x["gap"]).alias("gap"), blanks(x["hit"]).alias("hit")))
 
-    def step(acc, x):
-        a = acc["at"] + blanks(x["gap"])
-        b = a + blanks(x["hit"])
-        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end")))).alias("out"))
 
-    return F.aggregate(F.filter(pairs, lambda x: x["hit"].isNotNull()), start, step)["out"]
-
-
-def resolve(found: Column) -> Column:
-    """Detections that no other one suppresses.
+def _with_kept(spans: DataFrame) -> DataFrame:
+    """Adds ``kept``: false where another detection of the row suppresses this one.
 
     A detection falls if it lies within one of higher priority, or within a
     longer one of the same priority.  Of equal intervals with one priority the
-    first label stays.
+    first label stays.  One pass in the order of the starts holds, for each
+    priority, how far its detections have reached so far, so the work is
+    n log n in the detections of a text.
     """
-    def over(x, y):
-        inside = (y["start"] <= x["start"]) & (x["end"] <= y["end"])
-        longer = (y["end"] - y["start"]) > (x["end"] - x["start"])
-        even = (y["priority"] == x["priority"]) & (longer | (y["label"] < x["label"]))
-        return inside & ((y["priority"] > x["priority"]) | even)
-
-    return F.filter(found, lambda x: ~F.exists(found, lambda y: over(x, y)))
+    reach = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("row", "priority").orderBy("start").rangeBetween(Window.unboundedPreceding, -1)
+    here = Window.partitionBy("row", "priority", "start")
+    same = Window.partitionBy("row", "priority", "start", "end")
+    levels = sorted({r[4] for r in rules()})
+    far = spans.select("*", *[F.max(F.when(F.col("priority") == p, F.col("end"))).over(reach).alias(f"reach{p}") for p in levels])
+    higher = reduce(lambda x, y: x | y, [(F.col("priority") < p) & (F.coalesce(F.col(f"reach{p}"), F.lit(-1)) >= F.col("end")) for p in levels])
+    seen = far.select("*", F.max("end").over(before).alias("earlier"), F.max("end").over(here).alias("longest"), F.min("label").over(same).alias("first"))
+    longer = (F.coalesce("earlier", F.lit(-1)) >= F.col("end")) | (F.col("longest") > F.col("end"))
+    return seen.withColumn("kept", F.col("start").isNotNull() & ~(higher | longer | (F.col("first") < F.col("label")))).drop(
+        "earlier", "longest", "first", *[f"reach{p}" for p in levels])
 
 
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -179,7 +179,10 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     detections left after suppression; both as (start, end, label, priority,
     confidence) in words, end exclusive.  Texts are read once and only rule hits
     are shuffled.  Null and empty texts have no words and no detections; repeated
-    rows are rows of their own; other columns are not looked at.
+    rows are rows of their own; an empty table gives none; other columns are not
+    looked at.  The work of a text is n log n in its hits, which are rows of one
+    task.  Ties between rules go to the higher priority, the longer interval, the
+    first label.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"),
                        F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -190,16 +193,18 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         "row", "doc_id", "w", F.when(F.col("w") == "  ", 0).otherwise(
             F.length("w") - F.length(F.replace("w", F.lit(" "), F.lit(""))) - 1).cast("bigint").alias("n_words"),
         F.when(some, F.filter(_table(), lambda r: F.contains(F.col("w"), r["stem"]) & F.exists(r["keywords"], lambda k: F.contains(F.col("w"), k)))).alias("rules"))
-    each = gated.select("row", "doc_id", "n_words", "w", F.explode_outer("rules").alias("r"))
-    hits = each.select("row", "doc_id", "n_words", "r", F.when(F.col("r").isNotNull(), _places(F.col("w"), F.col("r.pattern"))).alias("at"))
-    spans = hits.select("row", "doc_id", "n_words", F.col("r.base").alias("base"), F.transform("at", lambda p: F.struct(
-        p["start"].alias("start"), p["end"].alias("end"), F.col("r.label").alias("label"),
-        F.col("r.priority").alias("priority"), F.col("r.confidence").alias("confidence"))).alias("spans"))
-    folded_back = spans.groupBy("row", "doc_id", "n_words").agg(
-        F.flatten(F.collect_list(F.when(F.col("base"), F.col("spans")))).alias("base"),
-        F.flatten(F.collect_list("spans")).alias("found"))
-    return folded_back.select("doc_id", "n_words", F.array_sort("base").alias("base"),
-                              F.array_sort(F.array_distinct(resolve(F.col("found")))).alias("kept"))
+    each = gated.select("row", "doc_id", "n_words", "w", F.posexplode_outer("rules").alias("rule", "r"))
+    hits = each.select("row", "doc_id", "n_words", "rule", "r.base", "r.label", "r.priority", "r.confidence", F.posexplode_outer(
+        F.when(F.col("r").isNotNull(), _pairs(F.col("w"), F.col("r.pattern")))).alias("nth", "at"))
+    # a rule without a hit leaves a row without a place; one a text is enough
+    dealt = hits.where(F.col("at").isNotNull() | F.coalesce(F.col("rule") == 0, F.lit(True))).repartition("row")
+    so_far = Window.partitionBy("row", "rule").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = dealt.withColumn("end", F.sum(F.col("at.gap") + F.col("at.hit")).over(so_far).cast("int"))
+    spans = ends.select("row", "doc_id", "n_words", "base", (F.col("end") - F.col("at.hit")).cast("int").alias("start"), "end", "label", "priority", "confidence")
+    span = F.struct("start", "end", "label", "priority", "confidence")
+    return _with_kept(spans).groupBy("row", "doc_id", "n_words").agg(
+        F.array_sort(F.collect_list(F.when(F.col("base") & F.col("start").isNotNull(), span))).alias("base"),
+        F.array_sort(F.collect_set(F.when(F.col("kept"), span))).alias("kept")).drop("row")
 
 
 def op8(docs: DataFrame) -> DataFrame:
