@@ -32,9 +32,10 @@ def frame(spark, rows):
     return spark.createDataFrame([(int(i), float(r), float(d)) for i, r, d in rows], "id bigint, ra double, dec double")
 
 
-# the crowd has all rows in one cell, so that finer grids are used
+# few rows a cell: the index is cut to several levels, also over the pole and the meridian
 @pytest.mark.parametrize("kind,radius,cell_rows", [
-    ("whole", 5, 4096), ("whole", 100, 4096), ("pole", 2, 4096), ("pole", 0.5, 20), ("wrap", 1, 4096), ("crowd", 1, 50)])
+    ("whole", 5, 4096), ("whole", 100, 4096), ("pole", 2, 4096), ("pole", 0.5, 20), ("wrap", 1, 4096), ("crowd", 1, 50), ("crowd", 1, 3),
+    ("pole", 2, 4), ("wrap", 1, 4), ("whole", 100, 8), ("whole", 170, 8)])
 def test_crossmatch_equals_brute_force(spark, kind, radius, cell_rows):
     rng = np.random.default_rng(11)
     a, b = points(rng, 200, 0, kind), points(rng, 300, 1000, kind)
@@ -70,3 +71,34 @@ def test_cone_search_over_the_meridian_and_the_pole(spark):
     for ra0, dec0, radius in [(0.5, 0.0, 2.0), (120.0, 88.0, 4.0)]:
         want = {int(i) for i, r, d in rows if distance(r, d, ra0, dec0) < radius}
         assert {r.id for r in sky.cone_search(df, "ra", "dec", ra0, dec0, radius).collect()} == want
+
+
+def test_rows_beside_a_crowded_cell_open_few_leaves(spark):
+    rng = np.random.default_rng(5)
+    crowd = points(rng, 4000, 1000, "crowd")
+    # a ring around the crowd, most of its rows in cells beside the crowd's; and rows inside it
+    turn = np.linspace(0, 2 * np.pi, 60, endpoint=False)
+    ring = np.column_stack([np.arange(60), 10 + 0.6 * np.cos(turn), 0.6 * np.sin(turn)])
+    a = np.vstack([ring, points(rng, 60, 100, "crowd")])
+    left, right = frame(spark, a).toDF("id1", "ra1", "dec1"), frame(spark, crowd).toDF("id2", "ra2", "dec2")
+    sky.ensure_checkpoint_dir(spark)
+    indexed, depth = sky._index(right, 1.0, 64)
+    assert depth > 1
+    leaves = sky._opened(left.select("ra1", "dec1"), sky._tree(indexed, 1.0), 1.0, 1.0, depth)
+    compared = sum(r.n for r in leaves.collect())
+    assert compared < 0.1 * len(a) * len(crowd)
+    got = {r.id1: r.id2 for r in sky.crossmatch(frame(spark, a), frame(spark, crowd), 1.0, cell_rows=64).collect()}
+    assert got == brute(a, crowd, 1.0)
+
+
+def test_copies_of_one_position_end_the_index(spark):
+    same = np.column_stack([np.arange(50), np.full(50, 10.0), np.full(50, 5.0)])
+    same[25:, 1] += 1e-12  # nearer to each other than any cell is wide
+    got = sky.crossmatch(frame(spark, [(1, 10.0, 5.0)]), frame(spark, same), 1.0, cell_rows=1).collect()
+    assert [(r.id1, r.id2, r.dist) for r in got] == [(1, 0, 0.0)]
+
+
+def test_empty_catalogues(spark):
+    none, some = frame(spark, []), frame(spark, [(1, 10.0, 5.0)])
+    assert sky.crossmatch(none, some, 1.0).count() == 0
+    assert sky.crossmatch(some, none, 1.0).count() == 0
