@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumentab.operators import distribution as dist
 from lumentab.operators import learn, neighbours
 from lumentab.plans.registry import query
+from lumentab.session import ensure_checkpoint_dir
 from lumentab.plans.statistics import r, rounded
 
 c = F.col
@@ -174,7 +175,8 @@ rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query ORDER BY d2, neighbour) A
 
 
 def ranked(t, k):
-    data = learn.standardize(vectors(t), COLS)
+    ensure_checkpoint_dir(t.spark)
+    data = learn.standardize(vectors(t), COLS).checkpoint()  # read three times
     test, train = data.where(c("vec_id") % 10 < 3), data.where(c("vec_id") % 10 >= 3)
     return neighbours.nearest(test, train, "vec_id", COLS, "label", k), test
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -64,9 +65,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Redistribute an input that a single task would read.
+    """Redistribute an input that few tasks would read.
 
-    For work that is heavy per row, such as parsing text from one unsplittable
-    file.  Anything read by two tasks or more is returned as it is.
+    For work that is heavy per row, such as parsing text.  A Parquet file of one
+    row group is read by one task, however many byte ranges it is cut into, so
+    where there are fewer ranges than twice the cores a job counts those that hold rows;
+    it reads no column.  Inputs of more ranges, and those most of whose cores have
+    rows, are returned as they are.
     """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    ranges = df.rdd.getNumPartitions()
+    if ranges > 1 and (ranges >= 2 * cores or 2 * df.select(F.spark_partition_id()).distinct().count() > cores):
+        return df
+    return df.repartition(cores)

@@ -95,3 +95,19 @@ def test_centres_and_loadings_against_numpy(spark):
         v = v if v[np.abs(v).argmax()] > 0 else -v
         assert np.isclose(r["loading"], v[cols.index(r["column_name"])], atol=1e-6)
         assert np.isclose(r["explained"], values[-1 - r["component"]] / values.sum())
+
+
+@pytest.mark.parametrize("kind", ["plain", "far from zero", "many ties", "not finite"])
+def test_closest_rows_equal_the_distances_from_differences(kind):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(70, 16)), rng.normal(size=(300, 16))
+    if kind == "far from zero":
+        x, y = x * 1e-3 + 1e6, y * 1e-3 + 1e6  # the product alone would lose all digits
+    if kind == "many ties":
+        x, y = x.round(), np.repeat(y[:30].round(), 10, axis=0)
+    if kind == "not finite":
+        y[5, 3] = np.nan
+    d = neighbours._distances(x, y)
+    want = d.argsort(axis=1, kind="stable")[:, :9]
+    near, got = neighbours._closest(x, y, 9)
+    assert (near == want).all() and (got == np.take_along_axis(d, want, axis=1)).all()
