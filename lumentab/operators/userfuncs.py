@@ -6,13 +6,11 @@ function only the user has.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 
 def apply_column(df: DataFrame, column: str, fn: Callable[[pd.Series], pd.Series], kind: str, out: str) -> DataFrame:
@@ -55,13 +53,10 @@ def apply_groups(df: DataFrame, by: str, fn: Callable[[pd.DataFrame], pd.DataFra
     return df.groupBy(by).applyInPandas(fn, schema)
 
 
-@udtf(returnType="pos int, token string")
-class LowerTokens:
-    """Table function: position and lower-cased token of a text."""
-
-    def eval(self, text: str):
-        for pos, token in enumerate(re.findall(r"[^\W]{2,}", (text or "").lower())):
-            yield pos, token
+def token_rows(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
+    """One row per lower-cased token of two or more letters, digits or underscores, with its position; null has none."""
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    return df.select(*keep, F.posexplode(tokens).alias("pos", "token"))
 
 
 def line_fields(lines: DataFrame, column: str = "value") -> DataFrame:

@@ -226,8 +226,7 @@ def udaf(t):
 SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS pos, words[i] AS token FROM (SELECT conv_id, turn, words, UNNEST(range(1, LEN(words) + 1)) AS i FROM
  (SELECT conv_id, turn, regexp_extract_all(LOWER(text), '[\p{L}\p{N}_]{2,}') AS words FROM conversations))""")
 def udtf_tokens(t):
-    t.spark.udtf.register("lower_tokens", uf.LowerTokens)
-    return t.spark.sql("SELECT conv_id, turn, pos, token FROM {conv}, LATERAL lower_tokens(text)", conv=t.conversations)
+    return uf.token_rows(t.conversations, "text", ["conv_id", "turn"])
 
 
 @query("apply_in_pandas", "B8", f"""
