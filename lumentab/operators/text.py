@@ -12,7 +12,7 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumentab.operators.joins import checked_broadcast
+from lumentab.operators.joins import BROADCAST_BYTES
 from lumentab.session import ensure_checkpoint_dir
 
 # fixed values: blanks of the scripting language, word of two or more word characters
@@ -51,16 +51,30 @@ def bag_shape(bag: DataFrame, doc: str) -> DataFrame:
                    F.count(F.lit(1)).alias("non_zero"), F.sum("tf").alias("total"))
 
 
-def tfidf(bag: DataFrame, doc: str, n_docs: Column) -> DataFrame:
+def tfidf(bag: DataFrame, doc: str, n_docs: Column, most_terms: int = 1_000_000) -> DataFrame:
     """tf * (ln((1+n)/(1+df)) + 1), scaled to length 1 per document.
 
-    A frequent term is a hot join key.  The table of document frequencies has
-    one short row per term: up to a million (counted) it is broadcast; a larger
-    one meets the bag in a sort-merge join, whose hot partitions AQE splits.  A
-    document holds at most one row per term, which bounds the window for its length.
+    A frequent term is a hot join key, so document frequencies are broadcast: those of the
+    ``most_terms`` most frequent terms, or of as many as stay in ``BROADCAST_BYTES``.  A term that is in one
+    document needs no entry.  What is left, terms in few documents, meets its
+    frequencies in a shuffled join of those rows only; without such terms a bag that lies by
+    document is not dealt anew.  A document holds at most one row per term, which bounds
+    the window for its length.
     """
-    df_ = checked_broadcast(bag.groupBy("term").agg(F.count(F.lit(1)).alias("df")), 1_000_000)
-    raw = bag.join(df_, "term").withColumn("w", F.col("tf") * (F.ln((1 + n_docs) / (1 + F.col("df"))) + 1))
+    ensure_checkpoint_dir(bag.sparkSession)
+    known = bag.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1).checkpoint()
+    # one row per document frequency: how many terms have it, and their bytes
+    sizes = known.groupBy("df").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("term") + 24).alias("b"))
+    above = Window.orderBy(F.desc("df"))
+    fits = sizes.withColumns({"n": F.sum("n").over(above), "b": F.sum("b").over(above)}).where(
+        (F.col("n") <= most_terms) & (F.col("b") <= BROADCAST_BYTES)).agg(F.min("df")).first()[0]
+    rest = known if fits is None else known.where(F.col("df") < fits)
+    met = bag if fits is None else bag.join(F.broadcast(known.where(F.col("df") >= fits)), "term", "left")
+    if fits is None or not rest.isEmpty():
+        open_ = met if fits is None else met.where(F.col("df").isNull()).drop("df")
+        found = open_.join(rest, "term", "left")
+        met = found if fits is None else met.where(F.col("df").isNotNull()).unionByName(found)
+    raw = met.withColumn("w", F.col("tf") * (F.ln((1 + n_docs) / (1 + F.coalesce("df", F.lit(1)))) + 1))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))
     return raw.select(doc, "term", "tf", (F.col("w") / length).alias("tfidf"))
 

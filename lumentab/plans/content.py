@@ -71,7 +71,9 @@ w AS (SELECT doc_id, term, tf, tf * (LN((1 + n) / (1 + df)) + 1) AS w FROM bag J
 SELECT doc_id, term, tf, ROUND(w / SQRT(SUM(w * w) OVER (PARTITION BY doc_id)), 6) AS tfidf FROM w""")
 def tfidf(t):
     n = t.documents.agg(F.count(F.lit(1))).scalar()
-    return rounded(tx.tfidf(bag(t), "doc_id", n))
+    # texts are dealt by document, which is less than their words; nothing moves between documents after that
+    words = tx.bag_of_words(t.documents.select("doc_id", "text").repartition("doc_id"), "doc_id", tx.tokens(c("text")))
+    return rounded(tx.tfidf(words, "doc_id", n))
 
 
 @query("naive_bayes", "X6", f"""

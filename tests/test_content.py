@@ -1,5 +1,8 @@
 import math
 
+import numpy as np
+import pytest
+
 from pyspark.sql import functions as F
 
 from lumentab.functions import arrays as A
@@ -121,3 +124,23 @@ def test_histogram_leaves_nan_out(spark):
     df = spark.createDataFrame([(0.0,), (1.0,), (2.0,), (float("nan"),), (None,)], "v double")
     got = distribution.histogram(df, "v", 2).orderBy("bin").collect()
     assert [(r["left_edge"], r["right_edge"], r["n"]) for r in got] == [(0.0, 1.0, 1), (1.0, 2.0, 2)]
+
+
+@pytest.mark.parametrize("most", [0, 2, 1_000_000])
+def test_tfidf_whatever_is_broadcast(spark, most):
+    docs = [(1, "aa bb cc aa"), (2, "aa bb dd"), (3, "aa bb cc ee"), (4, "aa ff"), (1, "cc gg"), (None, "aa hh")]
+    df = spark.createDataFrame(docs, "doc long, text string").repartition("doc")
+    bag = tx.bag_of_words(df, "doc", tx.tokens(F.col("text")))
+    words = {}
+    for d, text in docs:
+        words.setdefault(d, []).extend(text.split())
+    every = {t: sum(t in w for w in words.values()) for w in words.values() for t in w}
+    out = tx.tfidf(bag, "doc", F.lit(6), most)
+    got = {(r.doc, r.term): r.tfidf for r in out.collect()}
+    want = {}
+    for d, ws in words.items():
+        w = {t: ws.count(t) * (np.log(7 / (1 + every[t])) + 1) for t in set(ws)}
+        want |= {(d, t): v / np.sqrt(sum(x * x for x in w.values())) for t, v in w.items()}
+    assert got == pytest.approx(want)
+    if most == 1_000_000:  # texts are dealt by document, their words never
+        assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
