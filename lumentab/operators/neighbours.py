@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from lumentab.session import ensure_checkpoint_dir
 
 c = F.col
+_CELLS = 1 << 19  # distances that a task holds at a time
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -120,9 +121,9 @@ def nearest(queries: DataFrame, reference: DataFrame, key: str, features: Sequen
             return pd.DataFrame({x: [] for x in names})
         r = r.sort_values("id")  # a stable sort by distance then ranks ties by key
         ids, labels, rx = r["id"].to_numpy(), r["label"].to_numpy(), _matrix(r["x"])
-        m, out = min(k, len(r)), []
-        for first in range(0, len(a), 512):
-            part = a.iloc[first:first + 512]
+        m, out, step = min(k, len(r)), [], max(1, _CELLS // len(r))
+        for first in range(0, len(a), step):
+            part = a.iloc[first:first + step]
             near, d = _closest(_matrix(part["x"]), rx, m)
             out.append(pd.DataFrame({
                 "query": np.repeat(part["id"].to_numpy(), m), "neighbour": ids[near].ravel(),
