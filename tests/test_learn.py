@@ -111,3 +111,33 @@ def test_closest_rows_equal_the_distances_from_differences(kind):
     want = d.argsort(axis=1, kind="stable")[:, :9]
     near, got = neighbours._closest(x, y, 9)
     assert (near == want).all() and (got == np.take_along_axis(d, want, axis=1)).all()
+
+
+def test_depths_are_read_off_one_tree(spark, cloud, monkeypatch):
+    data = learn.features(spark.createDataFrame(cloud).withColumn("label", F.col("a") * 2 + F.col("b")), ["b", "c"])
+    train, test = learn.split_rows(data, "vec_id", 0.5)
+    want = {}
+    for depth in (1, 3, 6, 29):
+        model = learn.tree_regressor(depth).fit(train)
+        for name, part in (("train", train), ("test", test)):
+            rows = model.transform(part).toPandas()
+            want[depth, name] = (rows["prediction"] - rows["label"]).abs().median()
+    grown = []
+    grow = learn.tree_regressor
+    monkeypatch.setattr(learn, "tree_regressor", lambda depth, label: grown.append(depth) or grow(depth, label))
+    got = {(r["depth"], r["part"]): r["median_diff"] for r in learn.depth_sweep(train, test, [1, 3, 6, 29]).collect()}
+    assert got == pytest.approx(want) and grown == [29]
+
+
+def test_a_task_holds_a_bounded_number_of_distances(spark, cloud, monkeypatch):
+    sizes, closest = spark.sparkContext.accumulator(0), neighbours._closest
+
+    def watched(x, y, m):
+        sizes.add(int(x.shape[0] * y.shape[0] > 600))
+        return closest(x, y, m)
+
+    monkeypatch.setattr(neighbours, "_closest", watched)
+    monkeypatch.setattr(neighbours, "_CELLS", 600)
+    df = spark.createDataFrame(cloud)
+    assert neighbours.nearest(df, df, "vec_id", ["a", "b", "c"], "label", 9, pivots=1).count() == 2700
+    assert sizes.value == 0
