@@ -251,29 +251,32 @@ def fourier_features(df: DataFrame, columns: Sequence[str], gamma: float, count:
     rng = np.random.default_rng(seed)
     w = rng.normal(0.0, math.sqrt(2 * gamma), (count, len(columns)))
     shift = rng.uniform(0, 2 * math.pi, count)
-    # one short lambda over a constant table keeps the generated code small
-    table = F.array(*[F.array(F.lit(float(b)), *[F.lit(float(v)) for v in row]) for row, b in zip(w, shift)])
+    @F.pandas_udf("array<double>")
+    def waves(rows: pd.Series) -> pd.Series:
+        x = np.array(rows.tolist(), float).reshape(len(rows), len(columns))
+        angle = np.tile(shift, (len(x), 1))
+        for i in range(x.shape[1]):
+            angle += w[:, i] * x[:, i, None]
+        return pd.Series(list(np.cos(angle) * math.sqrt(2 / count)))
 
-    def wave(row: Column) -> Column:
-        angle = row[0]
-        for i, name in enumerate(columns):
-            angle = angle + row[i + 1] * c(name)
-        return F.cos(angle) * math.sqrt(2 / count)
-
-    return df.withColumn("features", array_to_vector(F.transform(table, wave)))
+    x = F.array(*[c(name).cast("double") for name in columns])
+    # a row with a missing value has missing features
+    known = F.when(F.forall(x, lambda v: v.isNotNull()), waves(x)).otherwise(F.array_repeat(F.lit(None).cast("double"), count))
+    return df.withColumn("features", array_to_vector(known))
 
 
 def svm_grid(df: DataFrame, columns: Sequence[str], label: str, key: str, gammas: Sequence[float],
              penalties: Sequence[float], folds: int = 3) -> DataFrame:
     """Mean cross-validated accuracy of an approximate-rbf SVM for every (gamma, penalty).
 
-    ``label`` is 0/1.  The features of a gamma are written once, as all folds
-    and penalties read them.
+    ``label`` is 0/1.  The columns are written once for all gammas, and the features
+    of a gamma once, as all folds and penalties read them.
     """
     ensure_checkpoint_dir(df.sparkSession)
+    base = df.select(c(label), fold_of(c(key), folds).alias("fold"), *[c(x) for x in columns]).checkpoint()
     rows = []
     for gamma in gammas:
-        data = fourier_features(df.withColumn("fold", fold_of(c(key), folds)), columns, gamma)
+        data = fourier_features(base, columns, gamma)
         machine = LinearSVC(labelCol=label, maxIter=10)
         grid = ParamGridBuilder().addGrid(machine.regParam, list(penalties)).build()
         score = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumentab.operators import distribution as dist
 from lumentab.operators import learn, neighbours
 from lumentab.plans.registry import query
-from lumentab.session import ensure_checkpoint_dir
+from lumentab.session import ensure_checkpoint_dir, spread
 from lumentab.plans.statistics import r, rounded
 
 c = F.col
@@ -230,7 +230,7 @@ COSTS, GAMMAS, SVM_FOLDS = (0.1, 1.0, 10.0, 100.0, 1000.0), (1.0, 0.1, 0.01, 0.0
 
 @query("svm_grid", "L18")
 def svm_grid(t):
-    data = learn.standardize(vectors(t), COLS).withColumn("label", (c("label") >= 5).cast("double"))
+    data = learn.standardize(spread(vectors(t)), COLS).withColumn("label", (c("label") >= 5).cast("double"))
     # C weighs the sum of the losses of the training rows, the penalty stands against their mean
     n = data.count() * (SVM_FOLDS - 1) / SVM_FOLDS
     out = learn.svm_grid(data, COLS, "label", "vec_id", GAMMAS, [1 / (x * n) for x in COSTS], folds=SVM_FOLDS)

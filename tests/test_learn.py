@@ -74,6 +74,29 @@ def test_svm_grid_finds_a_ring(spark):
     assert got.first().accuracy > 0.8
 
 
+def test_svm_grid_makes_its_columns_once_for_all_gammas(spark, monkeypatch):
+    machine = learn.LinearSVC
+    monkeypatch.setattr(learn, "LinearSVC", lambda labelCol, maxIter: machine(labelCol=labelCol, maxIter=1))
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        made.add(1)
+        return x
+
+    df = spark.range(0, 60, 1, 2).select(F.col("id").alias("vec_id"), (F.col("id") % 2).cast("double").alias("label"), F.udf(counted, "double")(F.sin("id")).alias("x"))
+    got = learn.svm_grid(df, ["x"], "label", "vec_id", [0.5, 0.1], [0.001], folds=2).collect()
+    assert [r.gamma for r in got] == [0.5, 0.1] and made.value == 60
+
+
+def test_fourier_features_against_numpy(spark):
+    x = np.random.default_rng(5).normal(size=(20, 3))
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)] + [(20, 1.0, None, 2.0)], "k int, a double, b double, c double")
+    rng = np.random.default_rng(7)
+    w, shift = rng.normal(0.0, np.sqrt(2 * 0.3), (16, 3)), rng.uniform(0, 2 * np.pi, 16)
+    got = learn.fourier_features(df, ["a", "b", "c"], 0.3, count=16).where("k < 20").orderBy("k").collect()
+    assert np.allclose([r.features.toArray() for r in got], np.cos(x @ w.T + shift) * np.sqrt(2 / 16))
+
+
 def test_centres_and_loadings_against_numpy(spark):
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(m, 0.1, (40, 3)) for m in (-5, 0, 5)]) * [1, 2, 3]
