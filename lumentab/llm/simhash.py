@@ -136,9 +136,9 @@ def spanning_links(prints: np.ndarray, sizes: np.ndarray, radius: int, known: np
         return i
 
     for shift in range(1, int(sizes.max(initial=0))):
-        active = int(sizes[sizes > shift].sum())
-        wanted = left[:active] > shift
-        wanted[: len(label) - shift] &= label[: min(active, len(label) - shift)] != label[shift : shift + active]
+        # the last lanes have no partner; where all buckets are longer than the shift they would reach beyond the planes
+        active = min(int(sizes[sizes > shift].sum()), len(label) - shift)
+        wanted = (left[:active] > shift) & (label[:active] != label[shift : shift + active])
         if not wanted.any():
             continue
         joined = False

@@ -79,6 +79,20 @@ def test_bit_sliced_distances(radius):
         assert simhash.within(planes, shift, wanted, radius).tolist() == want
 
 
+@pytest.mark.parametrize("sizes", [[500], [129], [700, 690, 650], [300, 200, 64, 3]])
+def test_long_buckets_of_unrelated_fingerprints(sizes):
+    """Buckets that are all longer than a shift of two words, with few lanes near each other."""
+    rng, n = np.random.default_rng(5), sum(sizes)
+    prints = rng.integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64)
+    want, start = set(), 0
+    for size in sizes:  # the first and the last lane of a bucket are near each other
+        i, j = start, start + size - 1
+        prints[j] = prints[i] ^ np.uint64(0b1011)
+        want.add((i, j))
+        start += size
+    assert set(simhash.spanning_links(prints, np.array(sizes), 4)) == want
+
+
 @pytest.mark.parametrize("m", [5, 6, 8])
 def test_buckets_miss_no_pair(m):
     masks = simhash.bucket_masks(m, 4)
