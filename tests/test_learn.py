@@ -164,3 +164,14 @@ def test_a_task_holds_a_bounded_number_of_distances(spark, cloud, monkeypatch):
     df = spark.createDataFrame(cloud)
     assert neighbours.nearest(df, df, "vec_id", ["a", "b", "c"], "label", 9, pivots=1).count() == 2700
     assert sizes.value == 0
+
+
+def test_forest_keeps_the_nodes_of_rows(spark):
+    """Deep trees are the same whether rows are taken down from the root in every pass or not."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 3))
+    rows = [(*map(float, v), float(v[0] * v[1] > rng.normal() / 2)) for v in x]
+    data = learn.features(spark.createDataFrame(rows, "a double, b double, c double, label double"), ["a", "b", "c"]).repartition(3).cache()
+    forest = learn.forest_classifier(5, depth=30)
+    assert forest.getCacheNodeIds()
+    assert forest.fit(data).toDebugString.split(")", 1)[1] == forest.copy({forest.cacheNodeIds: False}).fit(data).toDebugString.split(")", 1)[1]
